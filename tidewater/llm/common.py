@@ -78,3 +78,22 @@ def filesystem(uri: str):
     if parsed.scheme in ("", "file"):
         return fs.LocalFileSystem(), parsed.path
     return fs.FileSystem.from_uri(uri)
+
+
+class WordCache(dict):
+    """A cache of at most twice ``limit`` entries in two generations: what is met again in the older one moves to the newer."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def older(self, key):
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value)

@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import staged, table
+from tidewater.llm.common import broadcast_if_small, staged, table
 
 #: Filter cells a row, bits set a row, the most cells a filter may have (2**28 cells are 32 MB to broadcast), cells a block.
 CELLS_PER_ROW, PROBES, MAX_CELLS, BLOCK = 16, 2, 1 << 28, 1 << 14
 
 
+#: Rows from which a group counts as hot, and the most hot groups that are broadcast; more of them join by shuffle.
+HOT, MAX_HOT = 200, 1_000_000
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, sha): sha256 of the text with each run of ASCII white space as one space."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -94,8 +98,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alone = probed.filter("not maybe").select("id", "row", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     suspects = probed.filter("maybe").drop("maybe")
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
-    groups = suspects.groupBy(F.col("sha").alias("g")).agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    copies = suspects.join(groups, F.col("sha") == F.col("g")).select("id", "row", "sha", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    groups = staged(suspects.groupBy(F.col("sha").alias("g")).agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "groups")
+    # A hot group's rows must not meet in one task: groups of HOT rows or more, of which there are few, go to the rows.
+    hot = broadcast_if_small(groups.filter(F.col("group_size") >= HOT), MAX_HOT)
+    fields = ["id", "row", "sha", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept")]
+    rest = suspects.join(hot.select("g"), F.col("sha") == F.col("g"), "left_anti").join(groups.filter(F.col("group_size") < HOT), F.col("sha") == F.col("g")).select(fields)
+    copies = suspects.join(hot, F.col("sha") == F.col("g")).select(fields).unionByName(rest)
     return alone.unionByName(copies).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "row")
 
 
