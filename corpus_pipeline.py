@@ -1,22 +1,51 @@
-"""Corpus cleaning pipeline: stages of training-data operators, each on all its predecessor kept."""
+"""Corpus cleaning pipeline: stages of training-data operators, each on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm import decontam, exact_dedup, language, pieces, simhash
 from tidewater.llm.common import fresh_path, table
-from tidewater.llm.exact_dedup import kept_documents
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept_documents(docs)
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted."""
+    return language.accepted_documents(spark, docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.kept_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    return pieces.digest_documents(docs, with_ids=True)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_copies),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+#: SQL cannot express the language models, the components or the encoder; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage-{i}")
