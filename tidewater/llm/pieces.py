@@ -179,8 +179,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids binary, n_tokens long")
 
 
-def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids, and keeps digests of both."""
+def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): encodes, decodes the ids, and keeps digests of both."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -190,9 +190,10 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             raw = [first + enc.encode_bytes(t) + last for t in texts_of(part)]
             back = [enc.decode(np.frombuffer(x, "<u4").tolist()) for x in raw]
             sha = [[hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(x.encode()).hexdigest() for x in back]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), *map(pa.array, sha)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), *map(pa.array, sha), *([pa.array(raw, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
