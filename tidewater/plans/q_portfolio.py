@@ -14,7 +14,7 @@ QUERIES, ORACLE, query = registrar()
 
 @query("""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS d, l_quantity * 100000 AS adv FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN d / adv <= 0.001 THEN 5.0 WHEN d / adv <= 0.01 THEN 10.0 WHEN d / adv <= 0.05 THEN 25.0 ELSE 55.0 END AS bps FROM t""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN d / adv <= 0.001 THEN 5 WHEN d / adv <= 0.01 THEN 10 WHEN d / adv <= 0.05 THEN 25 ELSE 55 END AS DOUBLE) AS bps FROM t""")
 def cost_buckets(spark, sf):
     li = v.table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", backtest.cost_bps(F.col("l_extendedprice"), F.col("l_quantity") * 100000).alias("bps"))
@@ -40,11 +40,11 @@ def backtest_costs(spark, sf):
 
 
 @query(f"""WITH {v.MARKET}, p AS (SELECT idx, any_value(date) AS date, avg(CASE WHEN abs(ret_cc) < 5 THEN ret_cc / 50 END) AS ret FROM market GROUP BY 1)
-SELECT date, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY idx)), 6) AS nav FROM p""")
+SELECT date, round(exp(sum(ln(1 + coalesce(ret, 0))) OVER (ORDER BY idx)), 2) AS nav FROM p""")
 def equal_weight_nav(spark, sf):
     p = _market(spark, sf).groupBy("idx").agg(F.min("date").alias("date"), F.avg("ret_cc").alias("ret"))
     w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)  # one row a session
-    return p.select("date", F.round(F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)), 6).alias("nav"))
+    return p.select("date", F.round(F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)), 2).alias("nav"))
 
 
 @query(None)

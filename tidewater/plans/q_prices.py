@@ -10,7 +10,7 @@ from tidewater.operators import prices, quality
 from tidewater.operators.calendar import rebalance_dates
 from tidewater.operators.metrics import underwater, weekly_points
 from tidewater.plans import views as v
-from tidewater.plans.kit import r, registrar
+from tidewater.plans.kit import off, r, registrar
 
 QUERIES, ORACLE, query = registrar()
 
@@ -26,19 +26,19 @@ def table_span(spark, sf):
     return v.bars(spark, sf).groupBy("sid").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
 
 
-@query(f"WITH {v.RETS} SELECT sid, date, round(close, 6) AS close, round(ret_cc, 6) AS ret_cc FROM rets")
+@query(f"WITH {v.RETS} SELECT sid, date, round(close + 1e-9, 6) AS close, round(ret_cc + 1e-9, 6) AS ret_cc FROM rets")
 def daily_returns(spark, sf):
-    return v.rets(spark, sf).select("sid", "date", r("close"), r("ret_cc"))
+    return v.rets(spark, sf).select("sid", "date", off("close"), off("ret_cc"))
 
 
 @query("""
 WITH d AS (SELECT l_suppkey AS sid, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS open, avg(l_extendedprice) AS close, avg(l_extendedprice) * (1 - avg(l_discount)) AS closeunadj, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)
-SELECT sid, date, round(open * closeunadj / close, 6) AS open_raw, round(close * closeunadj / close, 6) AS close_raw, round(volume / (closeunadj / close), 6) AS volume_raw,
+SELECT sid, date, round(open * closeunadj / close + 1e-9, 6) AS open_raw, round(close * closeunadj / close + 1e-9, 6) AS close_raw, round(volume / (closeunadj / close) + 1e-9, 6) AS volume_raw,
   round(close / lag(close) OVER w - 1, 6) AS ret_cc, round(open / lag(close) OVER w - 1, 6) AS ret_co FROM d WHERE close > 0 WINDOW w AS (PARTITION BY sid ORDER BY date)""")
 def split_adjust(spark, sf):
     d = v.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("open"), F.avg("l_extendedprice").alias("close"), (F.avg("l_extendedprice") * (1 - F.avg("l_discount"))).alias("closeunadj"), F.sum("l_quantity").alias("volume"))
     d = d.withColumns({"high": F.col("open"), "low": F.col("close"), "closeadj": F.col("close")})
-    return prices.undo_splits(d).select("sid", "date", r("open_raw"), r("close_raw"), r("volume_raw"), r("ret_cc"), r("ret_co"))
+    return prices.undo_splits(d).select("sid", "date", off("open_raw"), off("close_raw"), off("volume_raw"), r("ret_cc"), r("ret_co"))
 
 
 LIQ = v.RETS + """, liq AS (SELECT *, CASE WHEN count(close * volume) OVER m >= 30 THEN median(close * volume) OVER m END AS adv, row_number() OVER (PARTITION BY sid ORDER BY date) AS bars_seen

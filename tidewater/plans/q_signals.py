@@ -164,7 +164,8 @@ def walk_forward_ols(spark, sf):
     return forecast.walk_forward(t, ["x"]).select("date", "sid", r("forecast", 5))
 
 
-@query(f"""WITH {KNOWN} SELECT date, sid, y FROM (SELECT month AS date, sid, fwd > quantile_cont(fwd, 0.5) OVER (PARTITION BY month) AS y, row_number() OVER (PARTITION BY month ORDER BY volume DESC NULLS LAST, sid) AS n FROM scores WHERE volume IS NOT NULL) WHERE n <= 30""")
+@query(f"""WITH {v.SCORES}, p AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY volume DESC NULLS LAST, sid) AS n FROM scores WHERE volume IS NOT NULL)
+SELECT month AS date, sid, fwd > quantile_cont(fwd, 0.5) OVER (PARTITION BY month) AS y FROM p WHERE n <= 30""")
 def modelling_dataset(spark, sf):
     m = v.month_scores(spark, sf).withColumnsRenamed({"month": "date", "volume": "adv"})
     return forecast.modelling_rows(m.drop("fwd"), m, ["score"], 30).select("date", "sid", "y")
