@@ -30,16 +30,25 @@ def known_at(dates: DataFrame, series: DataFrame, out: str = "value", shift_days
 
 
 def environment(dates: DataFrame, series: DataFrame, kinds: dict[str, str] | None = None, short: int = CHANGE_DAYS, long: int = YEAR_DAYS, least: int = PERCENTILE_LEAST) -> DataFrame:
-    """(date, series, level, chg_short, chg_long, pct): changes in logs for series of kind "log", else differences; the percentile
-    is over the levels at the dates so far."""
+    """(date, series, level, chg_short, chg_long, pct): changes in logs for series of kind "log", else differences; the percentile is
+    the newest known value's among all values of the series known by then."""
     now = known_at(dates, series, "level")
+    ranked = expanding_percentile(series.withColumn("_order", F.struct("available", "date")), ["series"], "_order", "value", least)
+    pct = known_at(dates, ranked.select("series", "date", "available", F.struct(F.col("pct").alias("p")).alias("value")), "_pct").select("date", "series", F.col("_pct.p").alias("pct"))
     a, b = known_at(dates, series, "_a", short), known_at(dates, series, "_b", long)
-    all_ = now.join(a, ["date", "series"]).join(b, ["date", "series"])
+    all_ = now.join(a, ["date", "series"]).join(b, ["date", "series"]).join(pct, ["date", "series"])
     logs = [k for k, v in (kinds or {}).items() if v == "log"]
     is_log = F.col("series").isin(logs) if logs else F.lit(False)
     change = lambda c: F.when(is_log, F.when((F.col("level") > 0) & (F.col(c) > 0), F.ln(F.col("level") / F.col(c)))).otherwise(F.col("level") - F.col(c))
-    out = all_.select("date", "series", "level", change("_a").alias("chg_short"), change("_b").alias("chg_long"))
-    return expanding_percentile(out, ["series"], "date", "level", least)
+    return all_.select("date", "series", "level", change("_a").alias("chg_short"), change("_b").alias("chg_long"), "pct")
+
+
+def spread(env: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Level and changes of one series less another's (a curve's slope), as a series of its own without percentile."""
+    x = env.filter(F.col("series") == a).select("date", *[F.col(c).alias(f"_{c}") for c in ("level", "chg_short", "chg_long")])
+    y = env.filter(F.col("series") == b)
+    gaps = [(F.col(f"_{c}") - F.col(c)).alias(c) for c in ("level", "chg_short", "chg_long")]
+    return x.join(y, "date").select("date", F.lit(name).alias("series"), *gaps, F.lit(None).cast("double").alias("pct"))
 
 
 def wide(env: DataFrame, names: list[str], columns: list[str] = ["level", "chg_short", "chg_long", "pct"]) -> DataFrame:
@@ -85,48 +94,98 @@ def tailwinds(betas: DataFrame, env: DataFrame) -> DataFrame:
     return out.select("date", "sid", "factor", "tailwind", F.sum(F.coalesce("tailwind", F.lit(0.0))).over(Window.partitionBy("date", "sid")).alias("total"))
 
 
-def absorption(returns: DataFrame, by: list[str], name: str = "sid", time: str = "date", ret: str = "ret", share: float = 0.2) -> DataFrame:
-    """(by, absorption): share of the correlation matrix's variance in its largest eigenvalues (``share`` of the names, one at least).
-    Names that miss a day of the group's window or do not move are left out."""
+def absorption(returns: DataFrame, by: list[str], name: str = "sid", time: str = "date", ret: str = "ret", coverage: float = 0.9, least: int = 10) -> DataFrame:
+    """(by, absorption): share of the correlation matrix's variance in its largest fifth of eigenvalues. Names with enough of the
+    group's days take part, missing ones count as nought; null under ``least`` moving names. A group is one window of a pool."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=time, columns=name, values=ret).dropna(axis=1)
+        m = pdf.pivot_table(index=time, columns=name, values=ret)
+        m = m.dropna(axis=1, thresh=int(coverage * len(m))).fillna(0.0)
         m = m.loc[:, m.std() > 0]
         value = None
-        if m.shape[1] >= 2 and m.shape[0] >= 3:
+        if m.shape[1] >= least:
             e = np.sort(np.linalg.eigvalsh(np.corrcoef(m.to_numpy(), rowvar=False)))[::-1]
-            value = float(e[: max(1, round(len(e) * share))].sum() / e.sum())
-        out = {c: [pdf[c].iloc[0]] for c in by} | {"absorption": [value]}
-        return pd.DataFrame(out)
+            value = float(e[: max(1, len(e) // 5)].sum() / e.sum())
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"absorption": [value]})
 
     kinds = ", ".join(f"{c} {returns.schema[c].dataType.simpleString()}" for c in by)
     return returns.select(*by, name, time, ret).groupBy(*by).applyInPandas(solve, f"{kinds}, absorption double")
 
 
-def market_state(index: DataFrame, fear: DataFrame | None = None, average: int = 200, step: int = 21, bear: float = 0.15, near: float = 0.05, high: int = 504, easing: float = 0.20) -> DataFrame:
-    """(date, state): bear where the index has been below its long average at three month steps and is down ``bear`` from its
-    two-year high; rebound where, in a bear, fear has eased from its recent top; else normal. index: (date, idx, nav)."""
+def market_state(index: DataFrame, fear: DataFrame | None = None, average: int = 200, step: int = 21, bear: float = 0.15, rebound: float = 0.20, high: int = 504, easing: float = 0.20, history: int = 294) -> DataFrame:
+    """(date, state): bear where the index is below its long average now and at the two month steps before and down ``bear`` from
+    its two-year high; rebound, which comes first, where it is down ``rebound`` and the newest month's fear is ``easing`` below the
+    top of the last three; else, and before ``history`` days, normal. index: (date, idx, nav); fear: (date, fear) at month ends."""
     w = Window.orderBy("idx")  # one series
     avg = F.avg("nav").over(w.rowsBetween(-(average - 1), 0))
     full = F.count("nav").over(w.rowsBetween(-(average - 1), 0)) == average
-    d = index.withColumn("_below", F.when(full, F.col("nav") < avg)).withColumn("_down", F.col("nav") / F.max("nav").over(w.rowsBetween(-(high - 1), 0)) - 1)
+    d = index.withColumn("_below", F.when(full, F.col("nav") < avg)).withColumn("_down", 1 - F.col("nav") / F.max("nav").over(w.rowsBetween(-(high - 1), 0)))
     three = F.col("_below") & F.lag("_below", step).over(w) & F.lag("_below", 2 * step).over(w)
-    d = d.withColumn("_bear", F.coalesce(three & (F.col("_down") <= -bear), F.lit(False)))
+    known = F.row_number().over(w) >= history
+    d = d.withColumn("_bear", F.coalesce(known & three & (F.col("_down") >= bear), F.lit(False))).withColumn("_known", known)
     if fear is None:
         return d.select("date", F.when(F.col("_bear"), "bear").otherwise("normal").alias("state"))
-    f = d.join(fear.select("date", "fear"), "date", "left").withColumn("_top", F.max("fear").over(w.rowsBetween(-(3 * step - 1), 0)))
-    eased = F.coalesce(F.col("fear") <= (1 - easing) * F.col("_top"), F.lit(False))
-    return f.select("date", F.when(F.col("_bear") & eased, "rebound").when(F.col("_bear"), "bear").otherwise("normal").alias("state"))
+    m = Window.orderBy("date").rowsBetween(-2, 0)
+    f = fear.select("date", F.when(F.count("fear").over(m) == 3, F.col("fear") <= (1 - easing) * F.max("fear").over(m)).alias("_eased"))
+    d = d.join(f, "date", "left").withColumn("_eased", F.last("_eased", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = F.coalesce(F.col("_known") & F.col("_eased") & (F.col("_down") >= rebound), F.lit(False))
+    return d.select("date", F.when(back, "rebound").when(F.col("_bear"), "bear").otherwise("normal").alias("state"))
+
+
+def month_end_state(index: DataFrame, market: DataFrame, month_ends: DataFrame, year: int = 252, average: int = 200) -> DataFrame:
+    """(date, drawdown, below_ma200, vol3m, breadth, fwd_1m, fwd_3m, fwd_6m) at month ends: of the index (date, idx, nav, ret), and the
+    share of names (sid, date, idx, growth, eligible) above their own long average."""
+    w = Window.orderBy("idx")  # one series
+    i = index.withColumns({
+        "drawdown": 1 - F.col("nav") / F.max("nav").over(w.rowsBetween(-2 * year, 0)),
+        "below_ma200": F.col("nav") < F.avg("nav").over(w.rowsBetween(-(average - 1), 0)),
+        "vol3m": F.stddev_pop("ret").over(w.rowsBetween(-62, 0)) * F.sqrt(F.lit(float(year))),
+        **{f"fwd_{n}m": F.lead("nav", n * 21).over(w) / F.col("nav") - 1 for n in (1, 3, 6)},
+    })
+    own = F.avg("growth").over(Window.partitionBy("sid").orderBy("idx").rangeBetween(-(average - 1), 0))
+    above = market.withColumn("_above", (F.col("growth") > own).cast("double")).filter("eligible").groupBy("date").agg(F.avg("_above").alias("breadth"))
+    names = ["date", "drawdown", "below_ma200", "vol3m", "breadth", "fwd_1m", "fwd_3m", "fwd_6m"]
+    return i.filter(F.col("idx") >= year).join(month_ends.select("date"), "date", "left_semi").join(above, "date", "left").select(*names)
+
+
+def regime_signals(months: DataFrame) -> DataFrame:
+    """Flags of month-end rows (date, drawdown, below_ma200, vol3m, breadth, absorption, vix, baa_spread, curve): absorption rising over a
+    standard deviation above its past year, divergences near a high, an inverted curve, calm, bear and rebound."""
+    w = Window.orderBy("date")  # one row a month
+    c = F.col
+    near = c("drawdown") <= 0.05
+    past = F.lag("absorption").over(w)
+    d = expanding_percentile(months.withColumn("_one", F.lit(1)), ["_one"], "date", "vol3m", 1, inclusive=True, out="vol_pct").withColumn("_past", past)
+    year = w.rowsBetween(-11, 0)
+    rising = F.when(F.count("_past").over(year) == 12, F.try_divide(c("absorption") - F.avg("_past").over(year), F.stddev_samp("_past").over(year)) > 1)
+    three = w.rowsBetween(-2, 0)
+    return d.withColumns({
+        "absorption_rising": rising,
+        "credit_divergence": near & (c("baa_spread") - F.lag("baa_spread", 3).over(w) > 0.25),
+        "breadth_divergence": near & (c("breadth") - F.lag("breadth", 3).over(w) < -0.10),
+        "curve_inverted": c("curve") < 0,
+        "complacent": c("vol_pct") <= 0.2,
+        "bear": (F.sum(c("below_ma200").cast("int")).over(three) == 3) & (F.count("below_ma200").over(three) == 3) & (c("drawdown") >= 0.15),
+        "rebound": (c("drawdown") >= 0.20) & F.when(F.count("vix").over(three) == 3, c("vix") <= 0.8 * F.max("vix").over(three)),
+    }).drop("_one", "_past")
+
+
+def panic(index: DataFrame, year: int = 252) -> DataFrame:
+    """(date, panic): fall from the two-year high times half a year's annualised volatility, both positive; null in the first year."""
+    w = Window.orderBy("idx")  # one series
+    down = 1 - F.col("nav") / F.max("nav").over(w.rowsBetween(-(2 * year - 1), 0))
+    vol = F.stddev_samp("ret").over(w.rowsBetween(-(year // 2 - 1), 0)) * F.sqrt(F.lit(float(year)))
+    return index.select("date", F.when(F.row_number().over(w) >= year, down * vol).alias("panic"))
 
 
 def stress_gauge(inputs: DataFrame, names: list[str], least: int = 24, neutral: float = 0.5) -> DataFrame:
-    """(date, gauge): mean of the inputs' expanding percentiles (not above), then that mean's own expanding percentile;
-    ``neutral`` before ``least`` dates. inputs: one row a date."""
+    """(date, gauge): mean of the inputs' expanding percentiles (not above) from ``least`` values on, then that mean's own expanding
+    percentile from ``least`` means on; ``neutral`` before. inputs: one row a date."""
     long = inputs.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])))
-    pct = expanding_percentile(long, ["name"], "date", "value", 1, inclusive=True)
-    mean = pct.groupBy("date").agg(F.avg("pct").alias("_mean")).withColumn("_one", F.lit(1))
-    out = expanding_percentile(mean, ["_one"], "date", "_mean", least + 1, inclusive=True, out="_g")
-    return out.select("date", F.coalesce("_g", F.lit(neutral)).alias("gauge"))
+    pct = expanding_percentile(long.filter("value is not null"), ["name"], "date", "value", least, inclusive=True)
+    mean = pct.groupBy("date").agg(F.avg("pct").alias("_mean")).filter("_mean is not null").withColumn("_one", F.lit(1))
+    out = expanding_percentile(mean, ["_one"], "date", "_mean", least, inclusive=True, out="_g")
+    return inputs.select("date").join(out.select("date", "_g"), "date", "left").select("date", F.coalesce("_g", F.lit(neutral)).alias("gauge"))
 
 
 def tilt(gauge: Column, low: float, high: float) -> Column:

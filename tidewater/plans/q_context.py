@@ -26,12 +26,13 @@ ENV = """s AS (SELECT series, date, available, round(value, 6) AS value FROM ser
  b AS (SELECT g.date, g.series, s.value AS b FROM g ASOF LEFT JOIN s ON g.series = s.series AND g.date - 14 >= s.available)"""
 
 
-@query(f"""WITH {v.SERIES}, {ENV} SELECT date, series, round(level, 6) AS level, round(CASE WHEN series = 'click' THEN ln(level / a) ELSE level - a END, 5) AS chg_short, round(CASE WHEN series = 'click' THEN ln(level / b) ELSE level - b END, 5) AS chg_long FROM l JOIN a USING (date, series) JOIN b USING (date, series)""")
+@query(f"""WITH {v.SERIES}, {ENV} SELECT date, series, round(level, 6) AS level, round(CASE WHEN series = 'click' THEN ln(level / a) ELSE level - a END, 5) AS chg_short, round(CASE WHEN series = 'click' THEN ln(level / b) ELSE level - b END, 5) AS chg_long, round(pct, 6) AS pct
+FROM l JOIN a USING (date, series) JOIN b USING (date, series) JOIN (SELECT g.date, g.series, CASE WHEN count(*) >= 5 THEN count(*) FILTER (WHERE s.value < l2.level) / CAST(count(*) AS DOUBLE) END AS pct FROM g JOIN l l2 USING (date, series) LEFT JOIN s ON g.series = s.series AND s.available <= g.date GROUP BY 1, 2) USING (date, series)""")
 def environment_changes(spark, sf):
     e = v.table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
     s = v.series(spark, sf).withColumn("value", F.round("value", 6))
     out = context.environment(e, s, {"click": "log"}, 7, 14, 5)
-    return out.select("date", "series", r("level"), r("chg_short", 5), r("chg_long", 5))
+    return out.select("date", "series", r("level"), r("chg_short", 5), r("chg_long", 5), r("pct"))
 
 
 @query("""SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) AS disc, round(sum(CASE WHEN l_tax > 0.02 THEN l_tax * l_extendedprice END) / sum(CASE WHEN l_tax > 0.02 THEN l_extendedprice END), 6) AS tax FROM lineitem GROUP BY 1""")
@@ -56,13 +57,13 @@ def factor_betas_grouped(spark, sf):
 
 
 @query(f"""WITH {v.INDEX}, n AS (SELECT key, date, row_number() OVER (PARTITION BY key ORDER BY date) AS idx, round(exp(sum(ln(1 + ret)) OVER (PARTITION BY key ORDER BY date)), 9) AS nav FROM series_r), o AS (SELECT * FROM n WHERE key = 'A'),
- a AS (SELECT date, idx, nav, CASE WHEN count(nav) OVER p = 50 THEN nav < round(avg(nav) OVER p, 9) END AS below, nav / max(nav) OVER (ORDER BY idx ROWS 125 PRECEDING) - 1 AS down FROM o WINDOW p AS (ORDER BY idx ROWS 49 PRECEDING))
-SELECT date, CASE WHEN coalesce(below AND lag(below, 5) OVER (ORDER BY idx) AND lag(below, 10) OVER (ORDER BY idx) AND down <= -0.05, FALSE) THEN 'bear' ELSE 'normal' END AS state FROM a""")
+ a AS (SELECT date, idx, nav, CASE WHEN count(nav) OVER p = 50 THEN nav < round(avg(nav) OVER p, 9) END AS below, 1 - nav / max(nav) OVER (ORDER BY idx ROWS 125 PRECEDING) AS down FROM o WINDOW p AS (ORDER BY idx ROWS 49 PRECEDING))
+SELECT date, CASE WHEN coalesce(idx >= 60 AND below AND lag(below, 5) OVER (ORDER BY idx) AND lag(below, 10) OVER (ORDER BY idx) AND down >= 0.05, FALSE) THEN 'bear' ELSE 'normal' END AS state FROM a""")
 def regime_flags(spark, sf):
     w = Window.partitionBy("key").orderBy("date")
     d = v.daily_index(spark, sf).filter("key = 'A'").withColumn("idx", F.row_number().over(w))
     d = d.withColumn("nav", F.round(F.exp(F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))), 9))
-    return context.market_state(d, average=50, step=5, bear=0.05, high=126)
+    return context.market_state(d, average=50, step=5, bear=0.05, high=126, history=60)
 
 
 @query(f"""WITH {v.FILINGS}, y AS (SELECT sid, year(filed) AS year, sum(amount) AS amount, count(*) AS n FROM filings GROUP BY 1, 2)
@@ -110,8 +111,9 @@ def absorption(spark, sf):
     return context.absorption(m, ["year"])
 
 
-@query(f"""WITH {v.SERIES}, d AS (SELECT date, round(avg(value), 6) AS a, round(max(value), 6) AS b FROM series GROUP BY 1), p AS (SELECT x.date, (count(*) FILTER (WHERE y.a <= x.a) / CAST(count(*) AS DOUBLE) + count(*) FILTER (WHERE y.b <= x.b) / CAST(count(*) AS DOUBLE)) / 2 AS m FROM d x JOIN d y ON y.date <= x.date GROUP BY x.date)
-SELECT x.date, round(CASE WHEN count(*) >= 6 THEN count(*) FILTER (WHERE y.m <= x.m) / CAST(count(*) AS DOUBLE) ELSE 0.5 END, 6) AS gauge FROM p x JOIN p y ON y.date <= x.date GROUP BY x.date, x.m""")
+@query(f"""WITH {v.SERIES}, d AS (SELECT date, round(avg(value), 6) AS a, round(max(value), 6) AS b FROM series GROUP BY 1), p AS (SELECT x.date, (count(*) FILTER (WHERE y.a <= x.a) / CAST(count(*) AS DOUBLE) + count(*) FILTER (WHERE y.b <= x.b) / CAST(count(*) AS DOUBLE)) / 2 AS m FROM d x JOIN d y ON y.date <= x.date GROUP BY x.date HAVING count(*) >= 5),
+ g AS (SELECT x.date, CASE WHEN count(*) >= 5 THEN count(*) FILTER (WHERE y.m <= x.m) / CAST(count(*) AS DOUBLE) END AS gauge FROM p x JOIN p y ON y.date <= x.date GROUP BY x.date, x.m)
+SELECT d.date, round(coalesce(gauge, 0.5), 6) AS gauge FROM d LEFT JOIN g USING (date)""")
 def stress_gauge(spark, sf):
     d = v.series(spark, sf).groupBy("date").agg(F.round(F.avg("value"), 6).alias("a"), F.round(F.max("value"), 6).alias("b"))
     return context.stress_gauge(d, ["a", "b"], 5).select("date", r("gauge"))

@@ -119,3 +119,46 @@ SELECT u.key, l.v AS state, min(u.date) AS since FROM u JOIN l ON u.key = l.key
 def held_since(spark, sf):
     s = v.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key"), F.to_date("o_orderdate").alias("date")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("state"))
     return metrics.held_since(s, "key", "state")
+
+
+@query(None)
+def approx_after_tax(spark, sf):
+    """Fast after-tax growth from monthly flows; tests hold it against the replay."""
+    m = _market(spark, sf)
+    weights = _weights(m, {"top5": 5, "top10": 10})
+    log, days = backtest.run_backtests(m, weights, trades=True), backtest.run_backtests(m, weights)
+    return tax.approx_after_tax(tax.monthly_gains(log, days.select("run", "date", "nav")))
+
+
+def _states(spark, sf):
+    """Orders as a supplier's annual filings: a state a year, filed forty days after its end."""
+    o = v.table(spark, sf, "orders")
+    y = o.groupBy((F.col("o_custkey") % 100).alias("sid"), F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").cast("double").alias("shares_out"))
+    end = F.make_date("y", F.lit(12), F.lit(31))
+    return y.select("sid", F.date_add(end, 40).alias("filed"), end.alias("period_end"), "revenue", "shares_out", (F.col("revenue") / 10).alias("net_income"), (F.col("revenue") * 2).alias("assets"))
+
+
+@query(f"""WITH {v.MARKET}, st AS (SELECT o_custkey % 100 AS sid, make_date(year(o_orderdate), 12, 31) + 40 AS filed, round(sum(o_totalprice), 2) AS revenue, CAST(count(*) AS DOUBLE) AS shares FROM orders GROUP BY 1, year(o_orderdate)),
+ px AS (SELECT sid, date, close, sum(ln(1 + coalesce(ret_cc, 0))) OVER (PARTITION BY sid ORDER BY date) AS l FROM market),
+ val AS (SELECT st.*, px.close * st.shares AS fv, px.l AS fl FROM st ASOF LEFT JOIN px ON st.sid = px.sid AND st.filed >= px.date),
+ g AS (SELECT m.date, m.sid, px.l FROM market m JOIN px ON m.sid = px.sid AND m.date = px.date WHERE m.month_end AND m.close > 500 AND m.volume > 0 AND m.idx >= 60)
+SELECT g.date, g.sid, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 THEN fv * exp(g.l - fl) END, 2) AS market_value, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 AND fv * exp(g.l - fl) > 0 THEN revenue / (fv * exp(g.l - fl)) END, 6) AS sales_yield
+FROM g ASOF LEFT JOIN val ON g.sid = val.sid AND g.date > val.filed""")
+def monthly_features(spark, sf):
+    from tidewater.operators import features
+
+    m = v.market(spark, sf).withColumn("adv", F.col("close") * F.col("volume")).withColumn("eligible", (F.col("close") > 500) & (F.col("volume") > 0))
+    out = features.monthly_features(m, _states(spark, sf), window=60, month=10)
+    return out.select("date", "sid", r("market_value", 2), r("sales_yield"))
+
+
+@query(f"""WITH {v.BARS}, liq AS (SELECT *, CASE WHEN count(close * volume) OVER m >= 30 THEN median(close * volume) OVER m END AS adv, row_number() OVER (PARTITION BY sid ORDER BY date) AS bars_seen FROM bars WINDOW m AS (PARTITION BY sid ORDER BY date ROWS 59 PRECEDING)),
+ l AS (SELECT s_suppkey AS sid, DATE '1996-01-01' AS f, CASE WHEN s_suppkey % 2 = 0 THEN DATE '1999-12-31' END AS t FROM supplier WHERE s_nationkey % 2 = 0)
+SELECT liq.sid, liq.date, round(adv, 4) AS adv, bars_seen, volume > 0 AS traded, EXISTS (SELECT 1 FROM l WHERE l.sid = liq.sid AND liq.date >= f AND liq.date <= coalesce(t, DATE '2999-12-31')) AS common FROM liq""")
+def daily_table(spark, sf):
+    from tidewater.operators import features
+
+    s = F.col("s_suppkey")
+    listings = v.table(spark, sf, "supplier").select(s.alias("sid"), F.lit("1996-01-01").cast("date").alias("from"), F.when(s % 2 == 0, F.lit("1999-12-31").cast("date")).alias("to"), F.when(F.col("s_nationkey") % 2 == 0, "common").otherwise("fund").alias("category"))
+    out = features.daily_table(v.bars(spark, sf), listings)
+    return out.select("sid", "date", r("adv", 4), F.col("bars_seen").cast("long").alias("bars_seen"), "traded", "common")
