@@ -169,3 +169,66 @@ def test_merge_chain_and_extend(spark):
     new = spark.createDataFrame([("Z", "z", "N", "common", day(1)), ("C", "c", "N", "common", day(2))], "ticker string, name string, exchange string, category string, first date")
     out = ids.extend(ids.Ids(sec, names), new)
     assert {x.sid for x in out.securities.filter("name in ('c', 'z')").collect()} == {r + 1, r + 2}
+
+
+def test_stress_gauge_history_and_tilt(spark):
+    values = [1.0, 2.0, 3.0, 4.0, 5.0, 0.5]
+    df = spark.createDataFrame([(day(i), x, 2 * x) for i, x in enumerate(values)], "date date, a double, b double")
+    got = [r.gauge for r in context.stress_gauge(df, ["a", "b"], 3).orderBy("date").collect()]
+    assert got[:4] == [0.5] * 4 and got[4] == 1.0 and got[5] < 0.5
+    assert spark.range(1).select(context.tilt(F.lit(0.7), 0.5, 0.9).alias("t")).first().t == pytest.approx(0.5)
+
+
+def test_market_states(spark):
+    def last(returns, fear=None):
+        nav = np.cumprod(1 + np.array(returns))
+        index = spark.createDataFrame([(day(i), i, float(x)) for i, x in enumerate(nav)], "date date, idx long, nav double")
+        f = None if fear is None else spark.createDataFrame([(day(len(nav) - 3 + k), float(x)) for k, x in enumerate(fear)], "date date, fear double")
+        return context.market_state(index, f).orderBy(F.desc("date")).first().state
+
+    up, down = [0.001] * 600, [0.001] * 600 + [-0.003] * 120
+    assert last(up) == "normal" and last(down) == "bear"
+    assert last(down, [60, 50, 40]) == "rebound" and last(down, [40, 50, 60]) == "bear"
+    assert last([0.001] * 600 + [-0.003] * 20) == "normal"
+
+
+def test_environment_percentile_and_publication(spark):
+    rows = [("x", day(i), day(i + 2), float(i % 7)) for i in range(40)]
+    s = spark.createDataFrame(rows, "series string, date date, available date, value double")
+    dates = spark.createDataFrame([(day(30),)], "date date")
+    r = context.environment(dates, s, short=7, long=14, least=20).first()
+    known = [float(i % 7) for i in range(29)]
+    assert r.level == known[-1] and r.pct == pytest.approx(np.mean([k < known[-1] for k in known]))
+    assert r.chg_short == known[-1] - float(21 % 7)
+
+
+def test_prior_year_is_null_when_filed_later(spark):
+    from tidewater.operators import features
+
+    d = dt.date
+    rows = [(1, d(2020, 12, 31), d(2021, 2, 1), 5.0), (1, d(2021, 12, 28), d(2022, 2, 1), 6.0), (2, d(2020, 12, 31), d(2023, 2, 1), 5.0), (2, d(2021, 12, 31), d(2022, 2, 1), 6.0)]
+    s = spark.createDataFrame(rows, "sid long, period_end date, filed date, revenue double")
+    got = {(r.sid, r.period_end): r.prior_revenue for r in features.with_prior(s, ["revenue"]).collect()}
+    assert got[1, d(2021, 12, 28)] == 5.0 and got[2, d(2021, 12, 31)] is None and got[1, d(2020, 12, 31)] is None
+
+
+def test_monthly_features_market_value_and_age(spark):
+    from tidewater.operators import features
+
+    cal = [day(i) for i in range(800)]
+    m = spark.createDataFrame([(x, i, 1, 0.001 if i else None, 10.0, 1e6, True, i in (60, 700)) for i, x in enumerate(cal)], "date date, idx long, sid long, ret_cc double, close double, adv double, eligible boolean, month_end boolean")
+    st = spark.createDataFrame([(1, day(50), day(20), 100.0, 50.0, 200.0)], "sid long, filed date, period_end date, shares_out double, net_income double, assets double")
+    got = {r.date: r for r in features.monthly_features(m, st, window=40, month=5).collect()}
+    a, b = got[day(60)], got[day(700)]
+    assert a.market_value == pytest.approx(100 * 10 * 1.001**10) and a.roa == pytest.approx(0.25) and b.market_value is None
+
+
+def test_fscore_from_years_perfect_and_missing_debt(spark):
+    cols = {"net_income": (3, 1, 1), "cfo": (5, 1, 1), "assets": (10, 10, 10), "liab_cur": (1, 2, 2), "lt_debt": (None, 1, 1), "liabilities": (0, 5, 5), "shares": (9, 10, 10), "revenue": (12, 10, 10), "cost_of_revenue": (4, 5, 5), "assets_cur": (4, 4, 4), "gross_profit": (None, None, None)}
+    names = [f"{c}_{t}" for c in cols for t in ("t", "t1", "t2")]
+    row = tuple(None if x is None else float(x) for v in cols.values() for x in v)
+    r = filings.fscores_from_years(spark.createDataFrame([row], ", ".join(f"{n} double" for n in names))).first()
+    assert (r.fscore, r.n_signals, r.leverage) == (9, 9, 1)
+    bank = tuple(None if n.startswith(("assets_cur", "cost_of")) else x for n, x in zip(names, row))
+    r = filings.fscores_from_years(spark.createDataFrame([bank], ", ".join(f"{n} double" for n in names))).first()
+    assert (r.fscore, r.n_signals, r.liquidity, r.margin) == (7, 7, None, None)
