@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.spread import by_key
 from tidewater.functions.windows import expanding_percentile
 from tidewater.operators.asof import asof_backward
 
@@ -79,7 +80,7 @@ def factor_betas(returns: DataFrame, factors: list[str], by: list[str], coverage
         return out[[*by, "factor", "beta"]]
 
     kinds = ", ".join(f"{c} {returns.schema[c].dataType.simpleString()}" for c in by)
-    return returns.select(*by, "ret", *factors).groupBy(*by).applyInPandas(solve, f"{kinds}, factor string, beta double")
+    return by_key(returns.select(*by, "ret", *factors), *by).groupBy(*by).applyInPandas(solve, f"{kinds}, factor string, beta double")
 
 
 def simple_beta(returns: DataFrame, by: list[str], y: str = "ret", x: str = "market") -> DataFrame:
@@ -109,7 +110,7 @@ def absorption(returns: DataFrame, by: list[str], name: str = "sid", time: str =
         return pd.DataFrame({c: [pdf[c].iloc[0]] for c in by} | {"absorption": [value]})
 
     kinds = ", ".join(f"{c} {returns.schema[c].dataType.simpleString()}" for c in by)
-    return returns.select(*by, name, time, ret).groupBy(*by).applyInPandas(solve, f"{kinds}, absorption double")
+    return by_key(returns.select(*by, name, time, ret), *by).groupBy(*by).applyInPandas(solve, f"{kinds}, absorption double")
 
 
 def market_state(index: DataFrame, fear: DataFrame | None = None, average: int = 200, step: int = 21, bear: float = 0.15, rebound: float = 0.20, high: int = 504, easing: float = 0.20, history: int = 294) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.spread import by_key
 from tidewater.functions.windows import pct_rank_mid
 
 
@@ -116,7 +117,7 @@ def ar_forecasts(prices: DataFrame, key: str = "sid", order_by: str = "date", va
         f = ar_forecast(p, horizon) if len(p) >= least else None
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(p)], "last": [float(p[-1]) if len(p) else None], "forecast": [f]})
 
-    return prices.select(key, order_by, value).groupBy(key).applyInPandas(solve, f"{key} {kind}, n long, last double, forecast double")
+    return by_key(prices.select(key, order_by, value), key).groupBy(key).applyInPandas(solve, f"{key} {kind}, n long, last double, forecast double")
 
 
 def modelling_rows(features: DataFrame, forward: DataFrame, columns: list[str], pool: int = 500) -> DataFrame:
@@ -127,3 +128,14 @@ def modelling_rows(features: DataFrame, forward: DataFrame, columns: list[str],
     for c in columns:
         rows = rows.withColumn(f"{c}_rank", pct_rank_mid(c, ["date"]))
     return rows.withColumn("y", F.col("fwd") > F.percentile("fwd", F.lit(0.5)).over(day))
+
+
+def live_expected(dates: DataFrame, forecasts: DataFrame, ics: DataFrame, rf: float = 0.0, max_age: int = 7, least: int = 6) -> DataFrame:
+    """(date, sid, expected) from the newest stored forecasts (date, sid, score, vol) at or before each date, not older than
+    ``max_age`` days, in Grinold's form with the ICs before the forecast's date; empty where there are none."""
+    made = forecasts.select("date").distinct().select(F.col("date").alias("_made"))
+    asked = dates.select(F.col("date").alias("_asked")).distinct()
+    gap = F.datediff("_asked", "_made")
+    newest = asked.join(F.broadcast(made), (gap >= 0) & (gap <= max_age)).groupBy("_asked").agg(F.max("_made").alias("_made"))  # a row a forecast date
+    out = grinold(forecasts, ics, rf, least).filter("expected is not null")
+    return newest.join(out, F.col("_made") == F.col("date")).select(F.col("_asked").alias("date"), "sid", "expected")

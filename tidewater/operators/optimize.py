@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewater.functions.spread import by_key
+
 # Largest weight, weight below which a name is dropped, L2 penalty, objectives.
 CAP, CUTOFF, L2 = 0.10, 1e-4, 0.1
 OBJECTIVES = ("max_sharpe", "min_volatility", "max_quadratic_utility", "kelly")
@@ -99,4 +101,4 @@ def optimized_weights(windows: DataFrame, objective: str = "max_sharpe", by: str
         return pd.DataFrame({by: pdf[by].iloc[0], name: m.columns, "weight": w})[w > 0]
 
     kinds = f"{by} {windows.schema[by].dataType.simpleString()}, {name} {windows.schema[name].dataType.simpleString()}, weight double"
-    return windows.groupBy(by).applyInPandas(run, kinds)
+    return by_key(windows, by).groupBy(by).applyInPandas(run, kinds)

@@ -94,3 +94,46 @@ def tenths(df: DataFrame, by: list[str], tie: str, score: str = "score") -> Data
     w = Window.partitionBy(*by)
     share = F.row_number().over(w.orderBy(F.asc_nulls_first(score), tie)) / F.count("*").over(w)
     return df.withColumn("_s", share).withColumn("tenth", F.when(F.col("_s") > 0.9, "top").when(F.col("_s") <= 0.1, "bottom")).drop("_s")
+
+
+def evaluate(market: DataFrame, scores: DataFrame, decide: Column, pools: dict[str, int | None], horizons: list[int], least: int = 20, liquidity: str = "adv") -> DataFrame:
+    """(pool, horizon, date, n, ic, top, bottom) for every decision date at once: scores (date, sid, score) of the pool's most liquid
+    names against forward returns, dates with a complete forward window only."""
+    out = None
+    rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last(liquidity), "sid"))
+    ranked = market.filter(decide).withColumn("_r", rank).select("date", "sid", "_r", liquidity)
+    for h in horizons:
+        fwd = forward_returns(market, h).filter("fwd is not null").select("date", "sid", "fwd")
+        joined = ranked.join(scores, ["date", "sid"]).join(fwd, ["date", "sid"])
+        for name, size in pools.items():
+            rows = joined if size is None else joined.filter((F.col("_r") <= size) & F.col(liquidity).isNotNull())
+            part = rank_ic(rows, ["date"], least=least).join(quantile_spread(rows, ["date"], least=least), "date")
+            part = part.select(F.lit(name).alias("pool"), F.lit(h).cast("long").alias("horizon"), "date", "n", "ic", "top", "bottom")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def refresh_scores(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows of other signals, and the fresh ones."""
+    return stored.join(fresh.select("signal").distinct(), "signal", "left_anti").unionByName(fresh)
+
+
+def trailing_mean(ics: DataFrame, n: int = 12, value: str = "ic") -> DataFrame:
+    """(date, trailing): mean of the last ``n`` values, null before there are as many."""
+    w = Window.orderBy("date").rowsBetween(-(n - 1), 0)  # one row a month
+    return ics.select("date", F.when(F.count(value).over(w) == n, F.avg(value).over(w)).alias("trailing"))
+
+
+def liquid_grades(df: DataFrame, tie: str, pool: int = 400, top: int = 30, score: str = "score", outcome: str = "fwd", liquidity: str = "adv") -> DataFrame:
+    """(date, ic, top_mean): within the most liquid names of a date, rank correlation and the mean outcome of the best scores."""
+    w = Window.partitionBy("date")
+    r = df.withColumn("_l", F.row_number().over(w.orderBy(F.desc_nulls_last(liquidity), tie))).filter((F.col("_l") <= pool) & F.col(liquidity).isNotNull() & F.col(score).isNotNull() & F.col(outcome).isNotNull())
+    best = r.withColumn("_k", F.row_number().over(w.orderBy(F.desc(score), tie))).filter(F.col("_k") <= top).groupBy("date").agg(F.avg(outcome).alias("top_mean"))
+    return rank_ic(r, ["date"], score, outcome, 2).select("date", "ic").join(best, "date")
+
+
+def caution_dial(env: DataFrame, forward: DataFrame, conditions: dict[str, tuple[Column, list[float], list[str]]]) -> DataFrame:
+    """(condition, bucket, n, ret, vol, drawdown, worst): what followed each bucket. env: a row a date; forward: (date, fwd_ret, fwd_vol, fwd_dd)."""
+    rows = F.array(*[F.struct(F.lit(n).alias("condition"), bucket(v, e, labels).alias("bucket")) for n, (v, e, labels) in conditions.items()])
+    long = env.join(forward.filter("fwd_ret is not null"), "date").select("fwd_ret", "fwd_vol", "fwd_dd", F.inline(rows)).filter("bucket is not null")
+    return long.groupBy("condition", "bucket").agg(F.count("*").alias("n"), F.avg("fwd_ret").alias("ret"), F.avg("fwd_vol").alias("vol"), F.avg("fwd_dd").alias("drawdown"), F.min("fwd_dd").alias("worst"))

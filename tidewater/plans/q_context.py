@@ -123,3 +123,13 @@ def stress_gauge(spark, sf):
 SELECT key, date, round(CASE WHEN n = 21 THEN exp(g) - 1 END, 6) AS fwd_ret, round(CASE WHEN n = 21 THEN vol END, 6) AS fwd_vol FROM w""")
 def forward_stats(spark, sf):
     return context.forward_stats(v.daily_index(spark, sf), 21).select("key", "date", r("fwd_ret"), r("fwd_vol"))
+
+
+@query(f"""WITH {v.INDEX}, w AS (SELECT key, date, ret, stddev_pop(ret) OVER x AS vol, sum(ln(1 + ret)) OVER x AS g, count(ret) OVER x AS n FROM series_r WHERE key = 'A' WINDOW x AS (PARTITION BY key ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING))
+SELECT 'day' AS condition, CASE WHEN ret < -0.01 THEN 'down' WHEN ret < 0.01 THEN 'flat' ELSE 'up' END AS bucket, count(*) AS n, round(avg(exp(g) - 1), 6) AS ret, round(avg(vol), 6) AS vol FROM w WHERE n = 21 GROUP BY 2""")
+def caution_dial(spark, sf):
+    from tidewater.operators.scoreboard import caution_dial as dial
+
+    d = v.daily_index(spark, sf).filter("key = 'A'")
+    out = dial(d.select("date", "ret"), context.forward_stats(d, 21).drop("key"), {"day": (F.col("ret"), [-0.01, 0.01], ["down", "flat", "up"])})
+    return out.select("condition", "bucket", "n", r("ret"), r("vol"))

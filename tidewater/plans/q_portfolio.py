@@ -142,14 +142,14 @@ def _states(spark, sf):
  px AS (SELECT sid, date, close, sum(ln(1 + coalesce(ret_cc, 0))) OVER (PARTITION BY sid ORDER BY date) AS l FROM market),
  val AS (SELECT st.*, px.close * st.shares AS fv, px.l AS fl FROM st ASOF LEFT JOIN px ON st.sid = px.sid AND st.filed >= px.date),
  g AS (SELECT m.date, m.sid, px.l FROM market m JOIN px ON m.sid = px.sid AND m.date = px.date WHERE m.month_end AND m.close > 500 AND m.volume > 0 AND m.idx >= 60)
-SELECT g.date, g.sid, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 THEN fv * exp(g.l - fl) END, 2) AS market_value, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 AND fv * exp(g.l - fl) > 0 THEN revenue / (fv * exp(g.l - fl)) END, 6) AS sales_yield
+SELECT g.date, g.sid, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 THEN fv * exp(g.l - fl) END + 1e-6, 2) AS market_value, round(CASE WHEN date_diff('day', val.filed, g.date) <= 550 AND fv * exp(g.l - fl) > 0 THEN revenue / (fv * exp(g.l - fl)) END, 6) AS sales_yield
 FROM g ASOF LEFT JOIN val ON g.sid = val.sid AND g.date > val.filed""")
 def monthly_features(spark, sf):
     from tidewater.operators import features
 
     m = v.market(spark, sf).withColumn("adv", F.col("close") * F.col("volume")).withColumn("eligible", (F.col("close") > 500) & (F.col("volume") > 0))
     out = features.monthly_features(m, _states(spark, sf), window=60, month=10)
-    return out.select("date", "sid", r("market_value", 2), r("sales_yield"))
+    return out.select("date", "sid", F.round(F.col("market_value") + 1e-6, 2).alias("market_value"), r("sales_yield"))
 
 
 @query(f"""WITH {v.BARS}, liq AS (SELECT *, CASE WHEN count(close * volume) OVER m >= 30 THEN median(close * volume) OVER m END AS adv, row_number() OVER (PARTITION BY sid ORDER BY date) AS bars_seen FROM bars WINDOW m AS (PARTITION BY sid ORDER BY date ROWS 59 PRECEDING)),

@@ -174,3 +174,36 @@ def modelling_dataset(spark, sf):
 @query(None)
 def ar3_forecast(spark, sf):
     return forecast.ar_forecasts(v.bars(spark, sf), horizon=5)
+
+
+@query(f"""WITH {IC} SELECT month AS date, round(CASE WHEN count(ic) OVER w = 12 THEN avg(ic) OVER w END, 6) AS trailing FROM ics WINDOW w AS (ORDER BY month ROWS 11 PRECEDING)""")
+def trailing_ic(spark, sf):
+    ics = scoreboard.rank_ic(v.month_scores(spark, sf), ["month"], least=5).withColumnRenamed("month", "date")
+    return scoreboard.trailing_mean(ics).select("date", r("trailing"))
+
+
+@query(f"""WITH {v.SCORES}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY volume DESC NULLS LAST, sid) AS n FROM scores) WHERE n <= 40 AND score IS NOT NULL AND fwd IS NOT NULL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY score DESC, sid) AS p FROM l), c AS (SELECT month FROM l GROUP BY 1 HAVING count(*) >= 2 AND max(score) > min(score) AND max(fwd) > min(fwd))
+SELECT month AS date, round(avg(fwd), 6) AS top_mean FROM k JOIN c USING (month) WHERE p <= 5 GROUP BY 1""")
+def liquid_top_mean(spark, sf):
+    m = v.month_scores(spark, sf).withColumnsRenamed({"month": "date", "volume": "adv"})
+    return scoreboard.liquid_grades(m, "sid", 40, 5).select("date", r("top_mean"))
+
+
+@query(f"""WITH {v.MARKET}, sc AS (SELECT date, sid, -(exp(sum({LG}) OVER (PARTITION BY sid ORDER BY idx RANGE BETWEEN 20 PRECEDING AND CURRENT ROW)) - 1) AS score FROM market),
+ f AS (SELECT date, idx, sid, sum({LG}) OVER (PARTITION BY sid ORDER BY idx RANGE BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS g FROM market), e AS (SELECT max(idx) AS e FROM market),
+ j AS (SELECT m.date, m.sid, round(sc.score, 9) AS score, round(exp(coalesce(f.g, 0)) - 1, 9) AS fwd FROM market m JOIN sc ON m.date = sc.date AND m.sid = sc.sid JOIN f ON m.date = f.date AND m.sid = f.sid CROSS JOIN e WHERE m.month_end AND f.idx + 10 <= e),
+ k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY date ORDER BY fwd) + (count(*) OVER (PARTITION BY date, fwd) - 1) / 2.0 AS b FROM j)
+SELECT date, count(*) AS n, round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) AS ic FROM k GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(a) * stddev_pop(b) <> 0""")
+def scoreboard_month_ends(spark, sf):
+    m = v.market(spark, sf).withColumn("adv", F.col("close") * F.col("volume"))
+    scores = signals.reversal(m, 21).withColumn("score", F.round("score", 9))
+    fwd = scoreboard.forward_returns(m, 10).withColumn("fwd", F.round("fwd", 9))
+    rows = m.filter("month_end").select("date", "sid").join(scores, ["date", "sid"]).join(fwd.select("date", "sid", "fwd"), ["date", "sid"])
+    return scoreboard.rank_ic(rows, ["date"], least=3).select("date", "n", r("ic"))
+
+
+@query(None)
+def scoreboard_evaluate(spark, sf):
+    m = v.market(spark, sf).withColumn("adv", F.col("close") * F.col("volume"))
+    return scoreboard.evaluate(m, signals.reversal(m, 21), F.col("month_end"), {"all": None, "top20": 20}, [5, 21], least=3)
