@@ -102,3 +102,37 @@ def optimized_weights(windows: DataFrame, objective: str = "max_sharpe", by: str
 
     kinds = f"{by} {windows.schema[by].dataType.simpleString()}, {name} {windows.schema[name].dataType.simpleString()}, weight double"
     return by_key(windows, by).groupBy(by).applyInPandas(run, kinds)
+
+
+def mean_variance(market: DataFrame, decide, top: int = 100, lookback: int = 252, coverage: float = 0.95, objective: str = "max_sharpe", cap: float = CAP, rf: float = 0.0, among: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """(date, sid, weight) on all decision dates: the most liquid names (of ``among``: date, sid, if given), those with enough returns in
+    the window, missing ones as nought, weighted by the objective. expected: (date, sid, expected) instead of the window's mean."""
+    from pyspark.sql import functions as F
+
+    from tidewater.operators.signals import top_liquid
+
+    pool = market.filter(decide)
+    if among is not None:
+        pool = pool.join(among.select("date", "sid"), ["date", "sid"], "left_semi")
+    picks = top_liquid(pool, top).select("date", "sid", F.col("idx").alias("_at"))
+    if expected is not None:
+        picks = picks.join(expected.select("date", "sid", "expected"), ["date", "sid"])
+    days = market.select(F.col("idx").alias("day")).distinct()
+    grid = picks.join(F.broadcast(days), (F.col("day") > F.col("_at") - lookback) & (F.col("day") <= F.col("_at")))  # a row a session
+    rets = market.select(F.col("sid").alias("_s"), F.col("idx").alias("_d"), "ret_cc")
+    full = grid.join(rets, (F.col("sid") == F.col("_s")) & (F.col("day") == F.col("_d")), "left")
+    from pyspark.sql import Window
+
+    share = F.count("ret_cc").over(Window.partitionBy("date", "sid")) / float(lookback)
+    rows = full.withColumn("_c", share).filter(F.col("_c") >= coverage).withColumn("ret", F.coalesce("ret_cc", F.lit(0.0)))
+    columns = ["date", "sid", "day", "ret", *(["expected"] if expected is not None else [])]
+    return optimized_weights(rows.select(*columns), objective, expected="expected" if expected is not None else None, rf=rf, cap=cap)
+
+
+def blend(risky: DataFrame, safe: DataFrame, tilts: DataFrame) -> DataFrame:
+    """(date, sid, weight): the safe weights' share rises with the date's ``tilt`` (0 to 1; a date without one has none)."""
+    from pyspark.sql import functions as F
+
+    both = risky.select("date", "sid", F.col("weight").alias("_r")).join(safe.select("date", "sid", F.col("weight").alias("_s")), ["date", "sid"], "full").join(F.broadcast(tilts.select("date", "tilt")), "date", "left")
+    a = F.coalesce("tilt", F.lit(0.0))
+    return both.select("date", "sid", ((1 - a) * F.coalesce("_r", F.lit(0.0)) + a * F.coalesce("_s", F.lit(0.0))).alias("weight")).filter("weight > 0")

@@ -132,3 +132,70 @@ def ticker_map(payload: DataFrame, column: str = "json") -> DataFrame:
     e = payload.select(F.explode(F.from_json(column, "map<string,struct<cik_str:bigint,ticker:string>>")).alias("k", "v"))
     out = e.select(normalize(F.col("v.ticker")).alias("symbol"), F.col("v.cik_str").alias("cik"), F.expr("try_cast(k as int)").alias("_k"))
     return first_rows(out, ["symbol"], ["_k"]).drop("_k")
+
+
+# Macro series as (id, name, kind, first release, lag in days).
+CONTEXT_SERIES = (
+    ("DCOILWTICO", "oil", "log", False, 1),
+    ("DHHNGSP", "natural_gas", "log", False, 1),
+    ("PCOPPUSDM", "copper", "log", False, 45),
+    ("DFF", "fed_funds", "diff", False, 1),
+    ("DGS3MO", "yield_3m", "diff", False, 1),
+    ("DGS2", "yield_2y", "diff", False, 1),
+    ("DGS10", "yield_10y", "diff", False, 1),
+    ("DGS30", "yield_30y", "diff", False, 1),
+    ("T10YIE", "breakeven_10y", "diff", False, 1),
+    ("DFII10", "real_yield_10y", "diff", False, 1),
+    ("BAA10Y", "baa_spread", "diff", False, 1),
+    ("VIXCLS", "vix", "diff", False, 0),
+    ("DTWEXBGS", "dollar", "log", False, 1),
+    ("NFCI", "financial_conditions", "diff", True, 1),
+    ("UNRATE", "unemployment", "diff", True, 1),
+    ("PAYEMS", "payrolls", "yoy", True, 1),
+    ("ICSA", "jobless_claims", "log", True, 1),
+    ("CPIAUCSL", "cpi", "yoy", True, 1),
+    ("CPILFESL", "core_cpi", "yoy", True, 1),
+    ("INDPRO", "industrial_production", "yoy", True, 1),
+    ("RSAFS", "retail_sales", "yoy", True, 1),
+    ("HOUST", "housing_starts", "log", True, 1),
+    ("UMCSENT", "consumer_sentiment", "diff", True, 1),
+)
+
+
+def context_series(spark: SparkSession) -> DataFrame:
+    """The macro series as a table (series, name, kind, first_release, lag_days)."""
+    return spark.createDataFrame(list(CONTEXT_SERIES), "series string, name string, kind string, first_release boolean, lag_days int")
+
+
+def fund_prices(payloads: DataFrame, column: str = "json") -> DataFrame:
+    """(symbol, date, adj_close) from payloads (symbol, [bars])."""
+    b = payloads.select("symbol", F.explode(F.from_json(column, "array<struct<date:string,adjClose:double>>")).alias("b"))
+    return b.select("symbol", F.to_date(F.substring("b.date", 1, 10)).alias("date"), F.col("b.adjClose").alias("adj_close"))
+
+
+def zip_members(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """(name, json) of the members of zips under a path; a task unpacks a zip and yields its members one by one."""
+
+    def unpack(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for blob in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(suffix)):
+                        yield pd.DataFrame({"name": [name], "json": [z.read(name).decode()]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "name string, json string")
+
+
+def latest_end(end, now, delay_minutes: int = 16):
+    """An end time no later than the vendor's delay allows."""
+    import datetime as dt
+
+    return min(end, now - dt.timedelta(minutes=delay_minutes))
+
+
+def numeric_columns(df: DataFrame, prefix: str = "env_") -> DataFrame:
+    """The date and all numeric columns, these with a prefix."""
+    kinds = {"double", "float", "bigint", "int", "smallint", "tinyint"}
+    return df.select("date", *[F.col(c).alias(prefix + c) for c, t in df.dtypes if t in kinds and c != "date"])
