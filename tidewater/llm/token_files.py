@@ -34,7 +34,7 @@ BLOCK_IDS = 1 << 16
 #: Stands for a null document id in a file.
 NO_ID = -(1 << 63)
 #: Pieces of text in a half of a worker's cache, and the longest that is cached.
-CACHE_PARTS, CACHE_LENGTH = 200_000, 40
+CACHE_PARTS, CACHE_LENGTH = 450_000, 40
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
@@ -143,21 +143,24 @@ class Encoder:
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cache, parts = self.cache, [None if self.whole(t) else self.cut(t) for t in texts]
-        new = [x for x in {x for p in parts if p for x in p if x not in cache} if cache.older(x) is None]
+        got = [p and list(map(cache.get, p)) for p in parts]
+        new = {x for p, g in zip(parts, got) if p and None in g for x, v in zip(p, g) if v is None}
+        new = [x for x in new if cache.older(x) is None]
         fresh = {}
         for k in range(0, len(new), 1 << 14):
             some = new[k : k + (1 << 14)]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            ends = (np.searchsorted(np.array(got.word_ids), np.arange(1, len(some) + 1)) * 4).tolist()
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids), np.arange(1, len(some) + 1)) * 4).tolist()
             fresh.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
-        out = []
-        for t, p in zip(texts, parts):
+        out, old = [], cache.old
+        for t, p, g in zip(texts, parts, got):
             if p is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            old = cache.old
-            out.append(b"".join([cache.get(x) or fresh.get(x) or old[x] for x in p]))
+            elif None in g:
+                out.append(b"".join([cache.get(x) or fresh.get(x) or old[x] if v is None else v for x, v in zip(p, g)]))
+            else:
+                out.append(b"".join(g))
         for x, b in fresh.items():
             if len(x) <= CACHE_LENGTH:
                 cache.keep(x, b)
