@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -105,15 +105,37 @@ def test_language_on_held_out(spark, docs, sf):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["banana bandana", "ban nab", "an ana"])], "doc_id long, text string, lang string")
-    model = language.train(rows)
-    letters = sorted({c for w in ("banana", "bandana", "ban", "nab") for c in w})
-    p = sum(np.exp(model.log_probabilities(["b" + c])[0, 0] - model.log_probabilities(["b"])[0, 0]) for c in letters)
-    assert np.isfinite(p)
-    # After "b": the chance of each letter or the end; a word's log probability is the sum over its characters and end.
-    codes, at, owner = language.coded(["ab", "c"])
-    assert len(at) == 5 and owner.tolist() == [0, 0, 0, 1, 1]
+def test_kneser_ney_matches_the_formula(spark):
+    texts_ = ["banana bandana", "ban nab ban", "an ana banner"]
+    model = language.train(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts_)], "doc_id long, text string, lang string"))
+    pad = lambda w: language.START * (language.ORDER - 1) + w + language.END
+    level = Counter(pad(w)[k : k + language.ORDER] for t in texts_ for w in t.split() for k in range(len(w) + 1))
+    levels = [level]
+    for _ in range(language.ORDER - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+
+    def p(gram):
+        k = len(gram)
+        counts = levels[k - 1]
+        low = p(gram[1:]) if k > 1 else 1 / language.ALPHABET
+        seen = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return low
+        once, twice = (sum(n == m for n in counts.values()) for m in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        return max(counts.get(gram, 0) - d, 0) / sum(seen) + d * len(seen) / sum(seen) * low
+
+    for w in ("ban", "banana", "nan", "zebra", "b", "bazan"):
+        want = sum(np.log(p(pad(w)[k : k + language.ORDER])) for k in range(len(w) + 1))
+        assert model.log_probabilities([w])[0, 0] == pytest.approx(want, rel=1e-9)
+
+
+def test_gibberish_is_rejected_and_text_kept(spark, docs):
+    model = language.train(docs)
+    rng = random.Random(3)
+    junk = " ".join("".join(rng.choice("qxzjkvwpfg") for _ in range(8)) for _ in range(40))
+    rows = spark.createDataFrame([(1, junk), (2, docs.filter("lang = 'de'").first().text)], "doc_id long, text string")
+    assert {r.doc_id: r.accepted for r in language.predict(rows, model).collect()} == {1: False, 2: True}
 
 
 def test_language_edges(spark, edges, none):
