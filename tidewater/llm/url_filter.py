@@ -88,5 +88,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def _sql() -> str:
+    fits = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    when = lambda out: " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{out(h, p, v)}'" for h, p, v in fits)
+    count = lambda terms: " + ".join(rf"regexp_matches(low, '(^|[^\p{{L}}\p{{N}}]){x}($|[^\p{{L}}\p{{N}}])')::INTEGER" for x in terms)
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH u AS (SELECT page_id, {lower("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, {lower("coalesce(url, '')")} AS low FROM pages),
+c AS (SELECT page_id, host, path, {count(STRICT)} AS strict_hits, {count(SOFT)} AS soft_hits FROM u)
+SELECT page_id, host, path, CASE {when(lambda h, p, v: h + p)} END AS rule, CASE {when(lambda h, p, v: v)} WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits FROM c"""
+
+
 QUERIES = {"op10_url_filter": op10_url_filter}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_url_filter": _sql()}
