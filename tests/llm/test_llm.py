@@ -130,6 +130,10 @@ def test_kneser_ney_matches_the_formula(spark):
         assert model.log_probabilities([w])[0, 0] == pytest.approx(want, rel=1e-9)
 
 
+def test_words_hold_a_letter():
+    assert language.words_of("12² Ⅷ ½ m² É_x 3a") == ["m²", "é", "x", "a"]
+
+
 def test_gibberish_is_rejected_and_text_kept(spark, docs):
     model = language.train(docs)
     rng = random.Random(3)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordCache, crc_mod, slices, staged, table, texts_of
+from tidewater.llm.common import WordCache, crc_mod, slices, staged, table, texts_of, without
 
 ORDER = 4
 MAX_GRAMS = 100_000
@@ -45,8 +45,9 @@ _letters = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _letters(text.lower())
+    """Lower-cased runs of letters; what the class takes for letters besides (superscripts, Roman numerals) makes no word alone."""
+    words = _letters(text.lower())
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def gram_rows(docs: DataFrame) -> DataFrame:
@@ -322,8 +323,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is accepted by a model of the same rows that ``op2_language_id`` learns from."""
     model = train(docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))))
-    marks = predict(docs, model).filter("not accepted").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marks, docs["doc_id"] == marks["_gone"], "left_anti")
+    return without(docs, predict(docs, model).filter("not accepted").select("doc_id"))
 
 
 QUERIES = {"op2_language_id": op2_language_id}
