@@ -24,9 +24,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices, table, texts_of
+from tidewater.llm.common import slices, table, texts_of, without
 
 WINDOW, COVERAGE = 5, 0.8
 #: Windows a broadcast table holds at most (about 40 bytes each, and the items' texts).
@@ -242,8 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates; rows of one id go together."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, contaminated(docs, benchmark).select("doc_id"), null_too=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import broadcast_if_small, staged, table
+from tidewater.llm.common import broadcast_if_small, staged, table, without
 
 #: Filter cells a row, bits set a row, the most cells a filter may have (2**28 cells are 32 MB to broadcast), cells a block.
 CELLS_PER_ROW, PROBES, MAX_CELLS, BLOCK = 16, 2, 1 << 28, 1 << 14
@@ -111,7 +111,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay. Only dropped ids shuffle; where ids repeat, rows of one id and text count as one row."""
     marks = exact_dedup(docs, id_col, text_col)
     gone = marks.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_any")).filter("not _any").select("_gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, gone, id_col)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

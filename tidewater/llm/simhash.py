@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import broadcast_if_small, slices, staged, table
+from tidewater.llm.common import broadcast_if_small, slices, staged, table, without
 from tidewater.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -190,8 +190,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id."""
     groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without(docs, groups.filter(F.col(id_col) > F.col("component_id")).select(id_col), id_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
