@@ -142,6 +142,18 @@ def test_gibberish_is_rejected_and_text_kept(spark, docs):
     assert {r.doc_id: r.accepted for r in language.predict(rows, model).collect()} == {1: False, 2: True}
 
 
+def test_a_thin_language_among_many_documents_rejects_gibberish(spark, docs):
+    some = docs.filter("n_chars < 600").select("text", "lang").crossJoin(spark.range(200)).select(F.monotonically_increasing_id().alias("doc_id"), "text", "lang")
+    thin = next(k for k in range(1 << 60, 1 << 61) if zlib.crc32(f"calibrate{k}".encode()) > 0.97 * (1 << 32))
+    one = spark.createDataFrame([(thin, "zolmek tavri ushpa kelo brinda moxu ferti wag quilo sdenor jyth", "xx")], "doc_id long, text string, lang string")
+    assert some.count() > 4_200
+    model = language.train(some.unionByName(one))
+    rng = random.Random(5)
+    junk = [(n, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n))) for n in (100, 1_000)]
+    out = language.predict(spark.createDataFrame([*junk, (0, one.first().text)], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: (r.lang_pred, r.accepted) for r in out} == {0: ("xx", True), 100: ("xx", False), 1_000: ("xx", False)}
+
+
 def test_language_edges(spark, edges, none):
     model = language.train(edges)
     out = language.predict(edges, model).collect()

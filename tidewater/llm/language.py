@@ -4,13 +4,13 @@ For each language, grams of up to ORDER characters inside words (padded, lower-c
 training documents. Lower orders use continuation counts, each order its own discount n1 / (n1 + 2 n2), and probabilities
 are interpolated down to a uniform distribution. A language's order is a sorted array of 64-bit gram hashes with log
 probabilities and back-off weights beside it; a look-up is a binary search. A text's language has the lowest
-cross-entropy a character. The score is the posterior at a temperature fitted on training documents; a text is rejected
+cross-entropy a character. The score is the posterior at a temperature fitted on the training documents; a text is rejected
 where its cross-entropy is far above what training documents of its language show.
 
 As contexts stop at word ends, a text's cross-entropy is a sum over its words, so words met again come from a cache.
 
-Bounds: at most MAX_GRAMS grams an order and language are kept, the commonest (ties at the cut all go); the calibration
-reads about SAMPLE training documents, chosen by hash. Counts cover all training documents.
+Bounds: at most MAX_GRAMS grams an order and language are kept, the commonest (ties at the cut all go). Counts and the calibration
+cover all training documents; a language of fewer than ENOUGH of them is judged by the mean and spread pooled over languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected; without training documents all
 texts are; equal cross-entropies go to the alphabetically first language; repeated rows get equal results; an empty table
@@ -24,17 +24,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import WordCache, crc_mod, slices, staged, table, texts_of, without
 
 ORDER = 4
 MAX_GRAMS = 100_000
-SAMPLE = 4_000
 #: A text is rejected where its cross-entropy is over the training documents' mean by this many standard deviations or nats,
 #: whichever is more, and REJECT_SHORT over the root of its letters, as short texts scatter.
 REJECT_SD, REJECT_NATS, REJECT_SHORT = 8.0, 0.75, 12.0
+#: Training documents from which a language's own mean and deviation count; with fewer, those pooled over the languages do.
+ENOUGH = 30
 START, END = "\x02", "\x03"
 #: Words in a half of a worker's cache, the longest that is cached, and grams a task holds before it passes them on.
 CACHE_WORDS, CACHE_LENGTH, HELD = 200_000, 40, 400_000
@@ -207,8 +208,16 @@ def _below(gram: str, tables: list[Table], lower: dict[str, float], order: int)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count grams over all rows with a language and a text, then fit score and rejection on about SAMPLE of them."""
+    """Count grams over all rows with a language and a text, then fit score and rejection on all of them."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    model = _counted(rows)
+    if model.langs:
+        _calibrate(model, cross_entropies(rows, model, keep="lang"))
+    return model
+
+
+def _counted(rows: DataFrame) -> Model:
+    """The model of (text, lang) rows, not calibrated."""
     counts = staged(gram_rows(rows), "grams")
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many kinds of longer grams it ends
@@ -229,27 +238,56 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 collected.setdefault(lang, [([], np.zeros(0, np.int64))] * ORDER)[k] = (part["gram"].tolist(), part["n"].to_numpy())
     model = Model(sorted(collected))
     model.tables = [build_tables(collected[x]) for x in model.langs]
-    if model.langs:
-        _calibrate(model, rows)
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame) -> None:
-    share = min(1.0, SAMPLE / max(1, rows.count()))
-    some = rows.filter(F.crc32(F.concat(F.lit("calibrate"), F.col("id").cast("string")).cast("binary")) < int(share * (1 << 32)))
-    got = cross_entropies(some, model, keep="lang").filter("letters > 0").collect()
-    place = {x: j for j, x in enumerate(model.langs)}
-    truth = np.array([place[r.kept] for r in got], int)
-    h = np.array([r.h for r in got], float).reshape(len(got), len(model.langs))
-    own = h[np.arange(len(got)), truth] if len(got) else np.zeros(0)
-    model.usual = np.array([[own[truth == j].mean(), own[truth == j].std()] if (truth == j).any() else [np.log(ALPHABET), 1.0] for j in range(len(model.langs))])
+def identify(docs: DataFrame, training: Column) -> DataFrame:
+    """``predict`` for all rows (doc_id, text, lang) by a model of those where ``training`` holds; each text is scored once for
+    calibration and prediction together."""
+    learns = training & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.when(learns, F.col("lang")).alias("lang"))
+    model = _counted(rows.filter("lang is not null"))
+    if not model.langs:
+        return predict(docs, model)
+    scored = staged(cross_entropies(rows, model, keep="lang"), "scored")
+    _calibrate(model, scored)
+    return judged(scored, model)
+
 
-    def loss(t: float) -> float:
-        z = -t * (h - h.min(axis=1, keepdims=True))
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(got)), truth]).mean())
+def _calibrate(model: Model, scored: DataFrame) -> None:
+    """Score and rejection from the cross-entropies of all training documents: rows of ``cross_entropies`` with ``kept`` the language."""
+    place = {x: j for j, x in enumerate(model.langs)}
+    grid = np.geomspace(0.5, 64, 29)
+    width = len(model.langs)
 
-    if len(got):
-        model.temperature = min(np.geomspace(0.5, 64, 29), key=loss)
+    def run(batches):
+        moments, loss = np.zeros((width, 3)), np.zeros((width, len(grid)))
+        for batch in batches:
+            truth = np.array([place.get(x, -1) for x in batch.column("kept").to_pylist()], int)
+            h = batch.column("h").flatten().to_numpy().reshape(len(truth), width)[truth >= 0]
+            truth = truth[truth >= 0]
+            own = h[np.arange(len(truth)), truth]
+            for i, x in enumerate((np.ones(len(own)), own, own * own)):
+                moments[:, i] += np.bincount(truth, x, width)
+            low = h.min(axis=1, keepdims=True)
+            for i, t in enumerate(grid):
+                loss[:, i] += np.bincount(truth, np.log(np.exp(-t * (h - low)).sum(axis=1)) + t * (own - low[:, 0]), width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int64()), *map(pa.array, moments.T), pa.array(loss.tolist(), pa.list_(pa.float64()))], names=["j", "n", "s", "ss", "loss"])
+
+    parts = scored.filter("kept is not null and letters > 0").select("kept", "h").mapInArrow(run, "j long, n double, s double, ss double, loss array<double>")
+    got = parts.groupBy("j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], *[F.sum(F.col("loss")[i]).alias(f"loss{i}") for i in range(len(grid))]).orderBy("j").collect()
+    moments = np.zeros((width, 3))
+    for r in got:
+        moments[r.j] = r.n, r.s, r.ss
+    n, total = moments[:, 0], moments[:, 0].sum()
+    if not total:
+        return
+    mean = moments[:, 1] / np.maximum(n, 1)
+    within = np.maximum(moments[:, 2] - n * mean**2, 0)
+    # Spread around each language's own mean; between languages it would be no spread of texts.
+    pooled = moments[:, 1].sum() / total, np.sqrt(within.sum() / total)
+    model.usual = np.array([[mean[j], np.sqrt(within[j] / n[j])] if n[j] >= ENOUGH else pooled for j in range(width)])
+    model.temperature = float(grid[np.argmin([sum(r[f"loss{i}"] for r in got) for i in range(len(grid))])])
 
 
 def cross_entropies(rows: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
@@ -297,7 +335,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     if not model.langs:
         return rows.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("accepted"))
-    h = cross_entropies(rows, model)
+    return judged(cross_entropies(rows, model), model, id_col)
+
+
+def judged(h: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, lang_pred, score, cross_entropy, accepted) from rows of ``cross_entropies``."""
     limit = [float(m + max(REJECT_SD * s, REJECT_NATS)) for m, s in model.usual]
     names, limits = F.array(*map(F.lit, model.langs)), F.array(*map(F.lit, limit))
     known = F.col("letters") > 0
@@ -315,15 +357,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 4) == 2
-    model = train(docs.filter(~F.coalesce(held_out, F.lit(False))))
-    return predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
 
 
 def accepted_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is accepted by a model of the same rows that ``op2_language_id`` learns from."""
-    model = train(docs.filter(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True))))
-    return without(docs, predict(docs, model).filter("not accepted").select("doc_id"))
+    out = identify(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)))
+    return without(docs, out.filter("not accepted").select("doc_id"))
 
 
 QUERIES = {"op2_language_id": op2_language_id}
