@@ -401,6 +401,33 @@ def test_templates_and_slots(spark, monkeypatch, limit):
     assert out[1, 1] == 0 and out[2, 1] > 0 and set(out) == {(1, 1), (2, 1), (6, 4)}
 
 
+def _pairs_found(items, texts_):
+    block = decontam.Block(list(enumerate(items)))
+    out = set()
+    for d, text in enumerate(texts_):
+        words, breaks = decontam.split(text)
+        out |= {(d, m[0]) for m in block.matches(words, decontam.Canonical().tokens(words, breaks))}
+    return out
+
+
+def test_insertions_deletions_and_longer_names_are_found():
+    alice = "If Alice has 3 apples and buys 5 kg more, how many apples does Alice have after 3 days?"
+    prose = "the quiet river turns below an old stone mill where children used to catch small silver fish before winter came"
+    got = _pairs_found(
+        [alice, prose],
+        [
+            alice.replace("Alice", "Mary Ann"),
+            "We read that " + prose.replace("mill where", "mill right where") + " and so on",
+            "We read that " + prose.replace("mill where", "where") + " and so on",
+            "If Mary Ann has two hundred apples and buys 9 pounds more, how many apples does Mary Ann have after two hundred days?",
+            "If Mary Ann has 3 apples and buys 5 kg more, how many apples does Carol have after 8 days?",
+            "the quiet river turns below some hill and fish before winter came",
+        ],
+    )
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 0)}
+    assert _pairs_found(["each ticket costs $5 so what do ten of them cost"], ["each ticket costs 7 dollars so what do ten of them cost"]) == {(0, 0)}
+
+
 def test_decontamination_edges(spark, edges, none, sf):
     bench = table(spark, sf, "benchmark")
     assert decontam.contaminated(edges, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0

@@ -2,11 +2,12 @@
 
 Words become template tokens: numbers, units and names are typed placeholders (slots), other words stay, lower-cased and
 without punctuation at their ends. Windows of WINDOW template tokens are hashed and joined by hash with the windows of the
-benchmark's items; windows of placeholders alone tell nothing and take no part. Matches of one document and item that lie
-on a diagonal (same shift) are put together, and the slots they cover are compared: the same value in the item must stand
-for the same value in the document throughout, and the other way round. A document is contaminated by an item if the
-windows of a consistent diagonal cover at least COVERAGE of the item's tokens; where slot values differ, the match is a
-re-parameterised question.
+benchmark's items; a window is taken token by token and with each run of slots as one placeholder of its first slot's type.
+Windows with fewer than half plain words take no part. Matches of one document and item are chained: positions increase in both, and neighbours on different diagonals
+differ by at most SHIFT tokens, so a word put in or left out does not part them. The slots of a chain are compared: the same
+value in the item must stand for the same value in the document throughout, and the other way round; a run cut by a window's
+edge is compared in the window that holds it whole. A document is contaminated by an item if a consistent chain covers at least
+COVERAGE of the item's tokens; where slot values differ, the match is a re-parameterised question.
 
 The benchmark's windows are a stated query set: they go to the rows as a broadcast hash table of at most MAX_WINDOWS
 windows; a larger benchmark is taken in blocks of whole items of that size, one pass over the documents each.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.common import slices, table, texts_of, without
 
-WINDOW, COVERAGE = 5, 0.8
+WINDOW, COVERAGE, SHIFT = 5, 0.8, 4
 #: Windows a broadcast table holds at most (about 40 bytes each, and the items' texts).
 MAX_WINDOWS = 1_000_000
 #: Words that a worker remembers; beyond that it starts anew.
@@ -62,6 +64,19 @@ def _hash(token: str) -> int:
     return xxh64_intdigest(token.encode(), 7)
 
 
+@dataclass
+class Tokens:
+    """A text's tokens: hashes of the template tokens and of the words, whether each is a slot, whether it would be within a
+    sentence, its word's place; and where the runs begin, which are single words or slots side by side, with the end."""
+
+    template: np.ndarray
+    literal: np.ndarray
+    slot: np.ndarray
+    heavy: np.ndarray
+    kept: np.ndarray
+    heads: np.ndarray
+
+
 class Canonical:
     """Texts to arrays of template tokens."""
 
@@ -70,25 +85,25 @@ class Canonical:
         self._restart()
 
     def _restart(self):
-        """Numbers of the words met, and by number the token within a sentence, the one at its start, and whether it ends one."""
+        """Numbers of the words met, and by number the token within a sentence, the one at its start, the word itself, and whether it ends one."""
         self.numbers: dict[str, int] = {}
-        self.forms = np.zeros((2, 1024), np.uint64), np.zeros(1024, bool)
+        self.forms = np.zeros((3, 1024), np.uint64), np.zeros(1024, bool)
 
     def _add(self, word: str) -> int:
         k = self.numbers[word] = len(self.numbers)
         forms, closes = self.forms
         if k == len(closes):
             self.forms = forms, closes = np.concatenate([forms, np.zeros_like(forms)], axis=1), np.r_[closes, np.zeros_like(closes)]
-        inner, first, _, closes[k] = token_forms(word)
+        inner, first, low, closes[k] = token_forms(word)
         if inner:
-            forms[0, k], forms[1, k] = _hash(inner), _hash(first)
+            forms[:, k] = _hash(inner), _hash(first), _hash(low)
         return k
 
-    def tokens(self, words: list[str], breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word's template token, place of the word); words without letters or digits are left out.
+    def tokens(self, words: list[str], breaks: np.ndarray) -> Tokens:
+        """The template tokens; words without letters or digits are left out.
         breaks: places at which a line begins."""
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return Tokens(*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, bool)] * 2, np.zeros(0, np.int64), np.zeros(1, np.int64))
         if len(self.numbers) > CACHE_WORDS:
             self._restart()
         got = list(map(self.numbers.get, words))
@@ -101,7 +116,11 @@ class Canonical:
         starts[breaks[breaks < len(words)]] = True
         out = np.where(starts, forms[1, at], forms[0, at])
         kept = np.flatnonzero(out != 0)
-        return out[kept], kept
+        out, at, starts = out[kept], at[kept], starts[kept]
+        slot, shaped = (out == self.slots[0]) | (out == self.slots[1]) | (out == self.slots[2]), forms[0, at]
+        heads = np.flatnonzero(~slot | starts | ~np.r_[False, slot[:-1]])
+        heavy = (shaped == self.slots[0]) | (shaped == self.slots[1]) | (shaped == self.slots[2])
+        return Tokens(out, forms[2, at], slot, heavy, kept, np.r_[heads, len(out)])
 
 
 def split(text: str) -> tuple[list[str], np.ndarray]:
@@ -113,84 +132,183 @@ def split(text: str) -> tuple[list[str], np.ndarray]:
     return words, np.array(breaks)
 
 
-def window_hashes(tokens: np.ndarray, slots: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """A hash for each window; zero where fewer than half of its tokens are words."""
-    n = len(tokens) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+def _mixed(tokens: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
     for k in range(size):
-        out = (out + tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out + tokens[at + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(31)
-    slot = np.zeros(len(tokens), bool)
-    for x in slots:
-        slot |= tokens == x
-    if slot.any():
-        words = np.r_[0, np.cumsum(~slot)]
-        out[words[size:] - words[:-size] < (size + 1) // 2] = 0
     return out
 
 
+def _plain(slot: np.ndarray, size: int) -> np.ndarray:
+    words = np.r_[0, np.cumsum(~slot)]
+    return words[size:] - words[:-size]
+
+
+def windows(t: Tokens, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, kind, start) of each window: by token (kind 0), by run (1, start is the run's number) where that differs, and
+    literally (2) where fewer than half of the tokens are plain words."""
+    parts = []
+    least, n, runs = (size + 1) // 2, len(t.template), len(t.heads) - 1
+    if n >= size:
+        at = np.flatnonzero(_plain(t.slot, size) >= least)
+        parts.append((_mixed(t.template, at, size), 0, at))
+    if runs >= size and runs < n:
+        at = np.flatnonzero((_plain(t.slot[t.heads[:-1]], size) >= least) & (t.heads[size:] - t.heads[:-size] > size))
+        if len(at):
+            parts.append((_mixed(t.template[t.heads[:-1]], at, size), 1, at))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.concatenate([x for x, _, _ in parts]) + np.uint64(size if size < WINDOW else 0)
+    return h, np.concatenate([np.full(len(x), kind) for x, kind, _ in parts]), np.concatenate([at for _, _, at in parts])
+
+
+def pairs_of(own: Tokens, heads: set, q: list[int], there: Tokens, theirs: set, p: list[int]):
+    """(start and end in the item, start and end in the text, whether the unit is whole in both) of a hit's units. q, p: where
+    the units begin, with the end; tokens of one run on both sides make one unit."""
+    out = []
+    for i in range(len(q) - 1):
+        if out and q[i] not in heads and p[i] not in theirs:
+            qa, _, pa, _ = out[-1]
+            out[-1] = (qa, q[i + 1], pa, p[i + 1])
+        else:
+            out.append((q[i], q[i + 1], p[i], p[i + 1]))
+    return [(*x, x[0] in heads and x[1] in heads and x[2] in theirs and x[3] in theirs) for x in out]
+
+
 class Block:
     """Part of the benchmark: its items' tokens and values, and a sorted table of window hashes."""
 
     def __init__(self, items: list[tuple[object, str]]):
         canonical, hashes, where = Canonical(), [], []
-        self.items = []
+        self.items, sizes = [], set()
         for k, (key, text) in enumerate(items):
             words, breaks = split(text)
-            tokens, kept = canonical.tokens(words, breaks)
-            self.items.append((key, tokens, [token_forms(words[i])[2] for i in kept.tolist()]))
-            size = min(WINDOW, len(tokens))
-            if size:
-                h = window_hashes(tokens, canonical.slots, size)
-                at = np.flatnonzero(h)
-                hashes.append(h[at] + np.uint64(size if size < WINDOW else 0))
-                where += [(k, p) for p in at.tolist()]
+            t = canonical.tokens(words, breaks)
+            self.items.append((key, t, [token_forms(words[i])[2] for i in t.kept.tolist()], set(t.heads.tolist())))
+            # An item that is short by tokens or by runs has one window of all of them.
+            for size in sorted({min(WINDOW, len(t.template)), min(WINDOW, len(t.heads) - 1)} - {0}):
+                sizes.add(size)
+                h, kind, at = windows(t, size)
+                if size < WINDOW:
+                    whole = np.where(kind == 1, len(t.heads) - 1, len(t.template)) == size
+                    h, kind, at = h[whole], kind[whole], at[whole]
+                hashes.append(h)
+                where.append(np.stack([np.full(len(h), k), kind, at, np.full(len(h), size)], axis=1))
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         by = np.argsort(every, kind="stable")
-        self.hashes, self.where = every[by], np.array(where, np.int64).reshape(-1, 2)[by]
-        self.sizes = sorted({min(WINDOW, len(t)) for _, t, _ in self.items} - {0, WINDOW}) + [WINDOW]
+        self.hashes, self.where = every[by], (np.concatenate(where) if where else np.zeros((0, 4), np.int64))[by]
+        self.sizes = sorted(sizes | {WINDOW})
         self.low = np.zeros(1 << 20, bool)
         self.low[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.slots = canonical.slots
 
-    def hits(self, tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, place in the item, place in the text, size) of each window of both."""
-        out = []
+    def hits(self, t: Tokens) -> dict[int, list[tuple[int, int, int, int, int]]]:
+        """By item: (kind and start in the item, kind and start in the text, size) of each window of both."""
+        out = defaultdict(list)
         for size in self.sizes:
-            h = window_hashes(tokens, self.slots, size)
-            some = np.flatnonzero((h != 0))
-            h = h[some] + np.uint64(size if size < WINDOW else 0)
-            likely = self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            some, h = some[likely], h[likely]
+            h, kind, at = windows(t, size)
+            likely = np.flatnonzero(self.low[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            h = h[likely]
             first, last = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for p, a, b in zip(some.tolist(), first.tolist(), last.tolist()):
-                out += [(int(k), int(q), p, size) for k, q in self.where[a:b]]
+            for i, a, b in zip(likely.tolist(), first.tolist(), last.tolist()):
+                for k, own_kind, q, own_size in self.where[a:b].tolist():
+                    if own_size == size:
+                        out[k].append((own_kind, q, int(kind[i]), int(at[i]), size))
         return out
 
-    def matches(self, words: list[str], tokens: np.ndarray, kept: np.ndarray):
+    def matches(self, words: list[str], t: Tokens):
         """(item's key, windows, coverage, changed slots, first word) of each contaminating item."""
-        diagonals: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for k, q, p, size in self.hits(tokens):
-            diagonals[k, p - q].append((q, size))
-        best: dict[int, tuple] = {}
-        for (k, shift), runs in diagonals.items():
-            key, own, values = self.items[k]
-            covered = sorted({q + i for q, size in runs for i in range(size)})
-            if len(covered) < COVERAGE * len(own):
+        found = []
+        theirs = None
+        for k, hits in sorted(self.hits(t).items()):
+            key, own, values, heads = self.items[k]
+            size = len(own.template)
+            if theirs is None:
+                theirs = set(t.heads.tolist())
+            units = lambda x, kind, at, n: x.heads[at : at + n + 1].tolist() if kind == 1 else list(range(at, at + n + 1))
+            spans = [(units(own, a, q, n), units(t, b, p, n)) for a, q, b, p, n in hits]
+            if len({i for q, _ in spans for i in range(q[0], q[-1])}) < COVERAGE * size:
                 continue
-            there, back, consistent, changed = {}, {}, True, 0
-            for i in covered:
-                if own[i] not in self.slots:
+            best = None
+            for chain in _chains([x for q, p in spans for x in pairs_of(own, heads, q, t, theirs, p)], size):
+                covered = {i for qa, qb, _, _, _ in chain for i in range(qa, qb)}
+                if len(covered) < COVERAGE * size:
                     continue
-                mine, yours = values[i], token_forms(words[int(kept[i + shift])])[2]
-                consistent &= there.setdefault(mine, yours) == yours and back.setdefault(yours, mine) == mine
-                changed += mine != yours
-            if consistent:
-                found = (len(covered) / len(own), -changed, len(runs), key, int(kept[covered[0] + shift]))
-                best[k] = max(best.get(k, (0.0,)), found, key=lambda x: x[:3])
-        return [(f[3], f[2], f[0], -f[1], f[4]) for _, f in sorted(best.items())]
+                changed = self._changed(words, t, own, values, chain)
+                if changed is not None:
+                    now = (len(covered) / size, -changed, -chain[0][2], chain)
+                    best = now if best is None or now[:3] > best[:3] else best
+            if best:
+                inside = {x[:4] for x in best[3]}
+                ends = {(x[0], x[2]) for x in inside}
+                n = len({(q[0], p[0]) for q, p in spans if (q[0], p[0]) in ends})
+                found.append((key, n, best[0], -best[1], int(t.kept[best[3][0][2]])))
+        return found
+
+    @staticmethod
+    def _changed(words: list[str], t: Tokens, own: Tokens, values: list[str], chain) -> int | None:
+        """How many slots have another value in the text; None where they are not consistent."""
+        there, back, changed = {}, {}, 0
+        for i, (qa, qb, pa, pb, whole) in enumerate(chain):
+            if not own.slot[qa]:
+                continue
+            mine, yours = values[qa:qb], [token_forms(words[int(w)])[2] for w in t.kept[pa:pb]]
+            short, long = sorted((mine, yours), key=len)
+            if len(short) < len(long) and short in (long[: len(short)], long[-len(short) :]):
+                # Beside the item, or by a capital at its start, a run is longer on one side: nothing to compare.
+                changed += len(mine) if 0 < i < len(chain) - 1 else 0
+                continue
+            if not whole and len(mine) != len(yours):
+                changed += len(mine)
+                continue
+            each = zip(mine, yours) if len(mine) == len(yours) else [(" ".join(mine), " ".join(yours))]
+            for x, y in each:
+                if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                    return None
+            if mine != yours:
+                changed += sum(x != y for x, y in zip(mine, yours)) if len(mine) == len(yours) else len(mine)
+        return changed
+
+
+def _chains(pairs: list[tuple], size: int):
+    """Chains of units: those of each diagonal alone, and, to each stretch of a diagonal, the best chain that ends in it."""
+    widest: dict[tuple, tuple] = {}
+    for x in pairs:
+        for at in ((0, x[0], x[2]), (1, x[1], x[3])):
+            if at not in widest or x[1] - x[0] + x[3] - x[2] > widest[at][1] - widest[at][0] + widest[at][3] - widest[at][2]:
+                widest[at] = x
+    kept = sorted((x for x in set(pairs) if widest[0, x[0], x[2]] == x == widest[1, x[1], x[3]]), key=lambda x: (x[2], x[0]))
+    open_: dict[tuple, list] = {}
+    parts: list[list] = []
+    for x in kept:
+        part = open_.pop((x[0], x[2]), None)
+        if part is None:
+            parts.append(part := [])
+        part.append(x)
+        open_[x[1], x[3]] = part
+    diagonals: dict[int, list] = defaultdict(list)
+    for part in parts:
+        diagonals[part[0][2] - part[0][0]].append(part)
+    yield from ([x for part in d for x in part] for d in diagonals.values())
+    score, up, last = [], [], [(p[-1][1], p[-1][3]) for p in parts]
+    for j, part in enumerate(parts):
+        (qa, _, pa, _, _), (qe, pe) = part[0], last[j]
+        best, via = qe - qa, None
+        for i in range(j - 1, -1, -1):
+            first = parts[i][0]
+            if pa - first[2] > 2 * size + SHIFT * WINDOW:
+                break
+            qb, pb = last[i]
+            if qa > first[0] and qe > qb and pa > first[2] and pe > pb and abs((pa - qa) - (pb - qb)) <= SHIFT and score[i] + qe - max(qa, qb) > best:
+                best, via = score[i] + qe - max(qa, qb), i
+        score.append(best)
+        up.append(via)
+    for j, n in enumerate(score):
+        if n >= COVERAGE * size and up[j] is not None:
+            chain, i = [], j
+            while i is not None:
+                chain, i = parts[i] + chain, up[i]
+            yield chain
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
@@ -224,8 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 found, at = [], []
                 for i, text in enumerate(texts_of(part)):
                     words, breaks = split(text)
-                    tokens, kept = canonical.tokens(words, breaks)
-                    for m in block.matches(words, tokens, kept):
+                    for m in block.matches(words, canonical.tokens(words, breaks)):
                         found.append(m)
                         at.append(i)
                 if found:
