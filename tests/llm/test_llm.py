@@ -428,6 +428,14 @@ def test_insertions_deletions_and_longer_names_are_found():
     assert _pairs_found(["each ticket costs $5 so what do ten of them cost"], ["each ticket costs 7 dollars so what do ten of them cost"]) == {(0, 0)}
 
 
+def test_verbatim_copies_of_slot_heavy_items_are_found():
+    items = ["Solve 3 x + 5 = 20 for x", "Barack Obama and Michelle Obama met John Kerry in Paris", "WHAT IS THE CAPITAL CITY OF FRANCE NOW", "12 7 4 99 3 8"]
+    assert _pairs_found(items, [f"so we said {x} and left" for x in items]) == {(k, k) for k in range(4)}
+    again = "Barack Obama was elected president and Obama served two terms"
+    assert _pairs_found([again], ["they said " + again + " in all"]) == {(0, 0)}
+    assert _pairs_found(items, ["so we said 13 7 5 99 4 8 and left", "Anna Meyer and Otto Meyer met Karl Weber in Berlin"]) == set()
+
+
 def test_decontamination_edges(spark, edges, none, sf):
     bench = table(spark, sf, "benchmark")
     assert decontam.contaminated(edges, bench).count() == 0 and decontam.contaminated(none, bench).count() == 0

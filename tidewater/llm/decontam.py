@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units and names are typed placeholders (slots), other words stay, lower-cased and
 without punctuation at their ends. Windows of WINDOW template tokens are hashed and joined by hash with the windows of the
 benchmark's items; a window is taken token by token and with each run of slots as one placeholder of its first slot's type.
-Windows with fewer than half plain words take no part. Matches of one document and item are chained: positions increase in both, and neighbours on different diagonals
+Windows with fewer than half plain words tell nothing as templates: these are hashed with their literal values, so they match
+verbatim only. Matches of one document and item are chained: positions increase in both, and neighbours on different diagonals
 differ by at most SHIFT tokens, so a word put in or left out does not part them. The slots of a chain are compared: the same
 value in the item must stand for the same value in the document throughout, and the other way round; a run cut by a window's
 edge is compared in the window that holds it whole. A document is contaminated by an item if a consistent chain covers at least
@@ -153,6 +154,9 @@ def windows(t: Tokens, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.n
     if n >= size:
         at = np.flatnonzero(_plain(t.slot, size) >= least)
         parts.append((_mixed(t.template, at, size), 0, at))
+        at = np.flatnonzero(_plain(t.heavy, size) < least)
+        if len(at):
+            parts.append((_mixed(t.literal, at, size) ^ np.uint64(0xA5A5A5A5A5A5A5A5), 2, at))
     if runs >= size and runs < n:
         at = np.flatnonzero((_plain(t.slot[t.heads[:-1]], size) >= least) & (t.heads[size:] - t.heads[:-size] > size))
         if len(at):
