@@ -99,13 +99,18 @@ class WordCache(dict):
         return None if value is None else self.keep(key, value)
 
 
-#: Ids that are broadcast at most to drop their rows; more of them join by shuffle.
+#: Row numbers that are broadcast at most to drop their rows; more of them join by shuffle.
 MAX_IDS = 2_000_000
+ROW = "_row"
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", null_too: bool = False) -> DataFrame:
-    """``docs`` without the rows whose id is in the only column of ``gone``. The ids are written and counted first, so that a small
-    set goes to the rows and the texts don't shuffle. Rows without an id stay, or go together if ``null_too`` and null is gone."""
-    ids = broadcast_if_small(staged(gone.toDF("_gone").distinct(), "gone"), MAX_IDS)
-    same = docs[id_col].eqNullSafe(ids["_gone"]) if null_too else docs[id_col] == ids["_gone"]
-    return docs.join(ids, same, "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a number for each row, so that repeated and null ids stay apart."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``numbered`` rows without those whose number is in the only column of ``gone``, and without the number. The numbers are
+    written and counted first, so that a small set goes to the rows and the texts don't shuffle."""
+    gone = broadcast_if_small(staged(gone.toDF("_gone").distinct(), "gone"), MAX_IDS)
+    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").drop(ROW)

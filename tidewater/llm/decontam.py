@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import slices, table, texts_of, without
+from tidewater.llm.common import ROW, numbered, slices, table, texts_of, without
 
 WINDOW, COVERAGE, SHIFT = 5, 0.8, 4
 #: Windows a broadcast table holds at most (about 40 bytes each, and the items' texts).
@@ -361,8 +361,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates; rows of one id go together."""
-    return without(docs, contaminated(docs, benchmark).select("doc_id"), null_too=True)
+    """The rows of ``docs`` that no item contaminates."""
+    rows = numbered(docs)
+    return without(rows, contaminated(rows, benchmark, ROW).select(ROW))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

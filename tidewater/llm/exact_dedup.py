@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import broadcast_if_small, staged, table, without
+from tidewater.llm.common import ROW, broadcast_if_small, numbered, staged, table, without
 
 #: Filter cells a row, bits set a row, the most cells a filter may have (2**28 cells are 32 MB to broadcast), cells a block.
 CELLS_PER_ROW, PROBES, MAX_CELLS, BLOCK = 16, 2, 1 << 28, 1 << 14
@@ -25,10 +25,10 @@ CELLS_PER_ROW, PROBES, MAX_CELLS, BLOCK = 16, 2, 1 << 28, 1 << 14
 HOT, MAX_HOT = 200, 1_000_000
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, sha): sha256 of the text with each run of ASCII white space as one space."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(id, row, sha): the row's number, by default in the order of reading, and sha256 of the text with each run of ASCII white space as one space."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("sha"))
+    return docs.select(F.col(id_col).alias("id"), (F.monotonically_increasing_id() if row is None else row).alias("row"), F.unhex(F.sha2(text, 256)).alias("sha"))
 
 
 def _cells(sha: pa.Array, size: int) -> np.ndarray:
@@ -81,9 +81,9 @@ def repeated_filter(rows: DataFrame) -> tuple[np.ndarray, int]:
     return bits, size
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256): one row for each row of ``docs``."""
-    rows = staged(digests(docs, id_col, text_col), "digests")
+    rows = staged(digests(docs, id_col, text_col, row), "digests")
     bits, size = repeated_filter(rows)
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -108,10 +108,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. Only dropped ids shuffle; where ids repeat, rows of one id and text count as one row."""
-    marks = exact_dedup(docs, id_col, text_col)
-    gone = marks.groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_any")).filter("not _any").select("_gone")
-    return without(docs, gone, id_col)
+    """The rows of ``docs`` that ``exact_dedup`` keeps; only the numbers of dropped rows shuffle."""
+    rows = numbered(docs)
+    return without(rows, exact_dedup(rows, id_col, text_col, F.col(ROW)).filter("not kept").select("row"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

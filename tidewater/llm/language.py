@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordCache, crc_mod, slices, staged, table, texts_of, without
+from tidewater.llm.common import ROW, WordCache, crc_mod, numbered, slices, staged, table, texts_of, without
 
 ORDER = 4
 MAX_GRAMS = 100_000
@@ -241,17 +241,17 @@ def _counted(rows: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, training: Column) -> DataFrame:
-    """``predict`` for all rows (doc_id, text, lang) by a model of those where ``training`` holds; each text is scored once for
+def identify(docs: DataFrame, training: Column, id_col: str = "doc_id") -> DataFrame:
+    """``predict`` for all rows (id, text, lang) by a model of those where ``training`` holds; each text is scored once for
     calibration and prediction together."""
     learns = training & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.when(learns, F.col("lang")).alias("lang"))
+    rows = docs.select(F.col(id_col).alias("id"), "text", F.when(learns, F.col("lang")).alias("lang"))
     model = _counted(rows.filter("lang is not null"))
     if not model.langs:
-        return predict(docs, model)
+        return predict(docs, model, id_col)
     scored = staged(cross_entropies(rows, model, keep="lang"), "scored")
     _calibrate(model, scored)
-    return judged(scored, model)
+    return judged(scored, model, id_col)
 
 
 def _calibrate(model: Model, scored: DataFrame) -> None:
@@ -363,8 +363,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is accepted by a model of the same rows that ``op2_language_id`` learns from."""
-    out = identify(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)))
-    return without(docs, out.filter("not accepted").select("doc_id"))
+    rows = numbered(docs)
+    return without(rows, identify(rows, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)), ROW).filter("not accepted").select(ROW))
 
 
 QUERIES = {"op2_language_id": op2_language_id}

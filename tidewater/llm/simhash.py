@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import broadcast_if_small, slices, staged, table, without
+from tidewater.llm.common import ROW, broadcast_if_small, numbered, slices, staged, table, without
 from tidewater.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -57,8 +57,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, hash64=None) -> int:
     return int.from_bytes(np.packbits(2 * count > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """(id, row, fp): the number in row_col, 0 without it; fp is the fingerprint's 64 bits as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -66,9 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for part in slices(batches):
             out = np.array([fingerprint(t, shingle, xxh64_intdigest) for t in part.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out.view(np.int64))], names=["id", "row", "fp"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    row = F.col(row_col) if row_col else F.lit(0).cast("long")
+    return docs.select(docs[id_col].alias("id"), row.alias("row"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, row long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -172,25 +173,28 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return every.repartition(n, "t", "bucket", "pair").sortWithinPartitions("t", "bucket", "pair").mapInArrow(_links(distance), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(id, fingerprint, component_id): one row for each row of ``docs``; component_id is the smallest id reachable by links."""
-    rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct")
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
+    """(id, fingerprint, component_id): one row for each row of ``docs``; component_id is the smallest id reachable by links.
+    With row_col, a column of numbers, also ``row`` and ``kept``: true for one row a component, the first of the smallest id."""
+    rows = staged(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
+    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min(order).alias("first"), F.count("*").alias("n")), "distinct")
     links = staged(near_links(distinct.select("fp"), distance), "links")
     roots = components(links)
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", "first", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = placed.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"), F.min("first")["row"].alias("keep"))
     # Fingerprints whose component differs from their own smallest id or that have copies; others are their own component.
-    linked = staged(placed.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "n"), "linked")
+    linked = staged(placed.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "keep", "n"), "linked")
     hot = broadcast_if_small(linked.filter(F.col("n") >= HOT), MAX_HOT)
     out = rows.join(hot, F.col("fp") == F.col("f")).unionByName(rows.join(hot.select("f"), F.col("fp") == F.col("f"), "left_anti").join(linked.filter(F.col("n") < HOT), F.col("fp") == F.col("f")))
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    extra = ["row", (F.col("row") == F.col("keep")).alias("kept")] if row_col else []
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id."""
-    groups = simhash_groups(docs, id_col, text_col)
-    return without(docs, groups.filter(F.col(id_col) > F.col("component_id")).select(id_col), id_col)
+    """One row of ``docs`` for each component: the first of its smallest id (null ids last)."""
+    rows = numbered(docs)
+    return without(rows, simhash_groups(rows, id_col, text_col, row_col=ROW).filter("not kept").select("row"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
