@@ -65,12 +65,18 @@ def band_variants(spark, sf):
     return backtest.run_backtests(m, _weights(m, {"top10": 10}), backtest.Settings(band=0.02))
 
 
+def most_traded(m, top_n: int):
+    """Rows of (year, sid, volume) of each year's ``top_n`` names by traded volume (ties by sid) among those of 12 months."""
+    full = Window.partitionBy("year", "sid")
+    m = m.withColumn("n", F.count("*").over(full)).filter("n = 12").withColumn("traded", F.sum("volume").over(full))
+    return m.withColumn("k", F.dense_rank().over(Window.partitionBy("year").orderBy(F.desc("traded"), "sid"))).filter(F.col("k") <= top_n)
+
+
 @query(None)
 def optimizer_weights(spark, sf):
     """Least-volatility weights of each year's most traded names."""
     m = v.month_scores(spark, sf).filter("score is not null").withColumn("year", F.year("month"))
-    full = Window.partitionBy("year", "sid")
-    pool = m.withColumn("n", F.count("*").over(full)).filter("n = 12").withColumn("k", F.dense_rank().over(Window.partitionBy("year").orderBy("sid"))).filter("k <= 15")
+    pool = most_traded(m, 15)
     return optimize.optimized_weights(pool.select("year", "sid", F.col("month").alias("day"), F.col("score").alias("ret")), "min_volatility", by="year", cap=0.2, periods=12)
 
 
