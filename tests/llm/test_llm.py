@@ -130,6 +130,15 @@ def test_kneser_ney_matches_the_formula(spark):
         assert model.log_probabilities([w])[0, 0] == pytest.approx(want, rel=1e-9)
 
 
+def test_every_gram_is_kept(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(25_000)]
+    model = language.train(spark.createDataFrame([(0, " ".join(words), "x")], "doc_id long, text string, lang string"))
+    pad = lambda w: language.START * (language.ORDER - 1) + w + language.END
+    want = len({pad(w)[k : k + language.ORDER] for w in words for k in range(len(w) + 1)})
+    assert want > 110_000 and len(model.tables[0][-1].keys) == want
+
+
 def test_words_hold_a_letter():
     assert language.words_of("12² Ⅷ ½ m² É_x 3a") == ["m²", "é", "x", "a"]
 

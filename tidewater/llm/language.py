@@ -9,7 +9,7 @@ where its cross-entropy is far above what training documents of its language sho
 
 As contexts stop at word ends, a text's cross-entropy is a sum over its words, so words met again come from a cache.
 
-Bounds: at most MAX_GRAMS grams an order and language are kept, the commonest (ties at the cut all go). Counts and the calibration
+Every gram is kept: the tables, which go to the driver and to each worker, grow with the kinds of grams. Counts and the calibration
 cover all training documents; a language of fewer than ENOUGH of them is judged by the mean and spread pooled over languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected; without training documents all
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import ROW, WordCache, crc_mod, numbered, slices, staged, table, texts_of, without
 
 ORDER = 4
-MAX_GRAMS = 100_000
 #: A text is rejected where its cross-entropy is over the training documents' mean by this many standard deviations or nats,
 #: whichever is more, and REJECT_SHORT over the root of its letters, as short texts scatter.
 REJECT_SD, REJECT_NATS, REJECT_SHORT = 8.0, 0.75, 12.0
@@ -170,9 +169,7 @@ def build_tables(orders: list[tuple[list[str], np.ndarray]]) -> list[Table]:
         weight = {c: d * kinds[c] / total[c] for c in total}
         p = {}
         for g, c in zip(grams, n.tolist()):
-            below = lower.get(g[1:])
-            if below is None:  # cut from the order below: through its back-off, at most two steps in practice
-                below = _below(g[1:], out, lower, k - 1)
+            below = lower[g[1:]] if k > 1 else 1 / ALPHABET
             p[g] = max(c - d, 0) / total[g[:-1]] + weight[g[:-1]] * below
         code = lambda items, size: hashes(np.frombuffer("".join(items).encode("utf-32-le"), "<u4").astype(np.uint64), np.arange(len(items)) * size + size - 1, size)
         keys = code(list(p), k) if p else np.zeros(0, np.uint64)
@@ -186,27 +183,10 @@ def build_tables(orders: list[tuple[list[str], np.ndarray]]) -> list[Table]:
             by = np.argsort(contexts)
             contexts, back = contexts[by], back[by]
         out.append(Table(keys[order], logp[order], contexts, back))
-        lower = p | {("", k): 0.0}
-        lower.pop(("", k))
+        lower = p
     return out
 
 
-def _below(gram: str, tables: list[Table], lower: dict[str, float], order: int) -> float:
-    codes = np.frombuffer(gram.encode("utf-32-le"), "<u4").astype(np.uint64)
-    logp = -np.log(ALPHABET)
-    for k in range(1, order + 1):
-        t, last = tables[k - 1], np.array([len(codes) - 1])
-        found = _find(t.keys, hashes(codes, last, k))[0]
-        if found >= 0:
-            logp = t.logp[found]
-        elif k == 1:
-            logp += t.backoff[0]
-        else:
-            c = _find(t.contexts, hashes(codes, last - 1, k - 1))[0]
-            logp += t.backoff[c] if c >= 0 else 0.0
-    return float(np.exp(logp))
-
-
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count grams over all rows with a language and a text, then fit score and rejection on all of them."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
@@ -222,22 +202,12 @@ def _counted(rows: DataFrame) -> Model:
     orders = [counts]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many kinds of longer grams it ends
         orders.insert(0, staged(orders[0].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}"))
-    # The smallest count that keeps at most MAX_GRAMS, from the counts of counts, which are few.
-    collected: dict[str, list[tuple[list[str], np.ndarray]]] = {}
-    for k, level in enumerate(orders):
-        least: dict[str, int] = {}
-        kinds: dict[str, int] = {}
-        for r in level.groupBy("lang", "n").agg(F.count("*").alias("kinds")).orderBy("lang", F.desc("n")).collect():
-            kinds[r.lang] = kinds.get(r.lang, 0) + r.kinds
-            if kinds[r.lang] <= MAX_GRAMS or r.lang not in least:
-                least[r.lang] = r.n
-        if least:
-            cut = F.create_map(*[x for lang, n in least.items() for x in (F.lit(lang), F.lit(n))])
-            got = level.filter(F.col("n") >= cut[F.col("lang")]).toPandas()
-            for lang, part in got.sort_values("gram").groupby("lang"):
-                collected.setdefault(lang, [([], np.zeros(0, np.int64))] * ORDER)[k] = (part["gram"].tolist(), part["n"].to_numpy())
-    model = Model(sorted(collected))
-    model.tables = [build_tables(collected[x]) for x in model.langs]
+    # A language at a time, so that the driver holds the strings of one; its tables take 16 bytes a gram.
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    model = Model(langs)
+    for lang in langs:
+        parts = [level.filter(F.col("lang") == lang).select("gram", "n").toPandas().sort_values("gram") for level in orders]
+        model.tables.append(build_tables([(part["gram"].tolist(), part["n"].to_numpy()) for part in parts]))
     return model
 
 
