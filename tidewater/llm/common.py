@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +35,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+    ``by``: columns of which each value has a folder of its own."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,17 +84,33 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+@lru_cache(maxsize=1)
+def mapped(uri: str) -> np.ndarray:
+    """The 8-byte numbers of a file: mapped where the shared folder is a mounted disk, so that a worker holds only pages that it
+    reads, else read."""
+    fs, path = filesystem(uri)
+    if fs.type_name == "local":
+        return np.memmap(path, np.uint64, "r") if fs.get_file_info(path).size else np.zeros(0, np.uint64)
+    with fs.open_input_stream(path) as source:
+        return np.frombuffer(source.read(), np.uint64)
+
+
 class WordCache(dict):
-    """A cache of at most twice ``limit`` entries in two generations: what is met again in the older one moves to the newer."""
+    """A cache of about ``max_bytes`` in two generations: what is met again in the older one moves to the newer.
+    Values have a length, of ``unit`` bytes an element."""
 
-    def __init__(self, limit: int):
+    def __init__(self, max_bytes: int, unit: int = 1):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.half, self.unit, self.used, self.old = max_bytes // 2, unit, 0, {}
 
     def keep(self, key, value):
-        if len(self) >= self.limit:
+        # An entry of a dictionary and two objects take some 200 bytes besides their contents.
+        size = 200 + 2 * len(key) + self.unit * len(value)
+        if self.used + size > self.half:
             self.old = dict(self)
             self.clear()
+            self.used = 0
+        self.used += size
         self[key] = value
         return value
 
@@ -98,6 +118,21 @@ class WordCache(dict):
         value = self.old.get(key)
         return None if value is None else self.keep(key, value)
 
+    def drop(self):
+        self.clear()
+        self.used, self.old = 0, {}
+
+
+def release(*caches: WordCache) -> None:
+    """Empty a task's caches and hand freed memory back, as the worker lives on beside other stages' workers."""
+    for cache in caches:
+        cache.drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
 
 #: Row numbers that are broadcast at most to drop their rows; more of them join by shuffle.
 MAX_IDS = 2_000_000

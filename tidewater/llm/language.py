@@ -2,15 +2,16 @@
 
 For each language, grams of up to ORDER characters inside words (padded, lower-cased, letters only) are counted over all
 training documents. Lower orders use continuation counts, each order its own discount n1 / (n1 + 2 n2), and probabilities
-are interpolated down to a uniform distribution. A language's order is a sorted array of 64-bit gram hashes with log
-probabilities and back-off weights beside it; a look-up is a binary search. A text's language has the lowest
-cross-entropy a character. The score is the posterior at a temperature fitted on the training documents; a text is rejected
+are interpolated down to a uniform distribution, all by joins and aggregates over tables of grams. A language's order is a
+sorted array of 64-bit gram hashes with log probabilities and back-off weights beside it; a look-up is a binary search. The
+arrays stand in one file in the shared folder, which workers map, so that a worker holds only the pages that it reads. A
+text's language has the lowest cross-entropy a character. The score is the posterior at a temperature fitted on the training documents; a text is rejected
 where its cross-entropy is far above what training documents of its language show.
 
 As contexts stop at word ends, a text's cross-entropy is a sum over its words, so words met again come from a cache.
 
-Every gram is kept: the tables, which go to the driver and to each worker, grow with the kinds of grams. Counts and the calibration
-cover all training documents; a language of fewer than ENOUGH of them is judged by the mean and spread pooled over languages.
+Every gram is kept: the file grows with the kinds of grams, 16 bytes each; the driver holds the numbers of one language at a
+time to write it. Counts and the calibration cover all training documents; a language of fewer than ENOUGH of them is judged by the mean and spread pooled over languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected; without training documents all
 texts are; equal cross-entropies go to the alphabetically first language; repeated rows get equal results; an empty table
@@ -20,14 +21,16 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ROW, WordCache, crc_mod, numbered, slices, staged, table, texts_of, without
+from tidewater.llm.common import ROW, crc_mod, filesystem, fresh_path, mapped, numbered, release, slices, staged, table, texts_of, without
 
 ORDER = 4
 #: A text is rejected where its cross-entropy is over the training documents' mean by this many standard deviations or nats,
@@ -36,8 +39,10 @@ REJECT_SD, REJECT_NATS, REJECT_SHORT = 8.0, 0.75, 12.0
 #: Training documents from which a language's own mean and deviation count; with fewer, those pooled over the languages do.
 ENOUGH = 30
 START, END = "\x02", "\x03"
-#: Words in a half of a worker's cache, the longest that is cached, and grams a task holds before it passes them on.
-CACHE_WORDS, CACHE_LENGTH, HELD = 200_000, 40, 400_000
+#: Words and characters that a scoring task remembers, and words scored at once.
+CACHE_WORDS, CACHE_CHARS, AT_ONCE = 250_000, 4_000_000, 30_000
+#: Distinct words and characters that a counting task holds before it passes their grams on.
+HELD, HELD_CHARS = 150_000, 2_500_000
 #: Size of the alphabet for the uniform distribution below the first order.
 ALPHABET = 1_000
 
@@ -47,39 +52,47 @@ _letters = re.compile(r"[^\W\d_]+").findall
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters; what the class takes for letters besides (superscripts, Roman numerals) makes no word alone."""
     words = _letters(text.lower())
-    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+    if not text.isascii():
+        bare = {w for w in set(words) if not w.isalpha() and not any(map(str.isalpha, w))}
+        if bare:
+            words = [w for w in words if w not in bare]
+    return words
 
 
 def gram_rows(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): grams of ORDER characters of (lang, text) rows; each task pre-aggregates."""
 
+    def flush(held: dict[str, Counter]):
+        for lang, words in held.items():
+            if not words:
+                continue
+            codes, at, owner = coded(list(words))
+            letters, number = np.unique(codes, return_inverse=True)
+            # A gram as one number: its characters' numbers among those met, as digits; sixteen bits hold all but exotic mixes.
+            if len(letters) <= 1 << 16:
+                packed = sum(number[at - k].astype(np.uint64) << np.uint64(16 * k) for k in range(ORDER))
+            else:
+                packed = hashes(codes, at, ORDER)
+            _, first, place = np.unique(packed, return_index=True, return_inverse=True)
+            n = np.bincount(place, np.fromiter(words.values(), float, len(words))[owner])
+            ends = at[first]
+            grams = np.ascontiguousarray(np.stack([codes[ends - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4")).view(f"<U{ORDER}").ravel()
+            words.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
     def run(batches):
-        held: dict[str, dict[str, int]] = {}
-
-        def flush():
-            out: dict[tuple[str, str], int] = {}
-            for lang, words in held.items():
-                for w, n in words.items():
-                    p = START * (ORDER - 1) + w + END
-                    for k in range(len(w) + 1):
-                        g = (lang, p[k : k + ORDER])
-                        out[g] = out.get(g, 0) + n
-            held.clear()
-            keys = list(out)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "gram", "n"])
-
-        size = 0
-        for part in slices(batches):
+        held: dict[str, Counter] = {}
+        chars = 0
+        for part in slices(batches, max_bytes=4 << 20):
             for lang, text in zip(part.column("lang").to_pylist(), texts_of(part)):
-                counts = held.setdefault(lang, {})
-                before = len(counts)
-                for w in words_of(text):
-                    counts[w] = counts.get(w, 0) + 1
-                size += len(counts) - before
-                if size > HELD:
-                    yield flush()
-                    size = 0
-        yield flush()
+                held.setdefault(lang, Counter()).update(words_of(text))
+                chars += len(text)
+                # Few distinct words can take many characters, and the other way round.
+                if chars > HELD_CHARS and (sum(map(len, held.values())) > HELD or (chars := sum(len(w) for words in held.values() for w in words)) > HELD_CHARS):
+                    yield from flush(held)
+                    chars = 0
+        yield from flush(held)
+        release()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -126,67 +139,90 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    tables: list[list[Table]] = field(default_factory=list)
+    #: The file with all arrays, and by language and order how many grams and contexts stand there.
+    uri: str = ""
+    sizes: list[list[tuple[int, int]]] = field(default_factory=list)
     #: Of each language's training documents: mean and standard deviation of the cross-entropy under its own model.
     usual: np.ndarray | None = None
     temperature: float = 1.0
 
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
+    @property
+    def tables(self) -> list[list[Table]]:
+        out, at = [], 0
+        for orders in self.sizes:
+            out.append([])
+            for grams, contexts in orders:
+                ends = np.cumsum([at, grams, grams, contexts, contexts])
+                keys, logp, ctx, back = (mapped(self.uri)[a:b] for a, b in zip(ends, ends[1:]))
+                out[-1].append(Table(keys, logp.view(np.float64), ctx, back.view(np.float64)))
+                at = int(ends[-1])
+        return out
+
+    def log_probabilities(self, words: list[str], tables: list[list[Table]] | None = None) -> np.ndarray:
         """Natural log probability of each word, with its end, under each language."""
         codes, at, owner = coded(words)
-        grams = [hashes(codes, at, k) for k in range(1, ORDER + 1)]
-        before = [hashes(codes, at - 1, k) for k in range(1, ORDER)]
+        # Each kind of gram is looked up once, in order.
+        kinds = lambda place, k: np.unique(hashes(codes, place, k), return_inverse=True)
+        grams = [kinds(at, k) for k in range(1, ORDER + 1)]
+        before = [None, *(kinds(at - 1, k) for k in range(1, ORDER))]
         out = np.empty((len(words), len(self.langs)))
-        for j, orders in enumerate(self.tables):
+        for j, orders in enumerate(tables or self.tables):
             logp = np.full(len(at), -np.log(ALPHABET))
-            for k, t in enumerate(orders):
-                found = _find(t.keys, grams[k])
-                back = 0.0 if k and not len(t.contexts) else (t.backoff[0] if k == 0 else None)
-                if back is None:
-                    c = _find(t.contexts, before[k - 1])
-                    back = np.where(c >= 0, t.backoff[c], 0.0)
-                logp = np.where(found >= 0, t.logp[found] if len(t.keys) else 0.0, logp + back)
+            for t, (own, place), context in zip(orders, grams, before):
+                if context is None:
+                    back = t.backoff[0]
+                else:
+                    c = _find(t.contexts, context[0])
+                    back = (np.where(c >= 0, t.backoff[c], 0.0) if len(t.contexts) else np.zeros(len(c)))[context[1]]
+                found = _find(t.keys, own)
+                value = t.logp[found] if len(t.keys) else np.zeros(len(found))
+                logp = np.where((found >= 0)[place], value[place], logp + back)
             out[:, j] = np.bincount(owner, logp, len(words))
         return out
 
 
-def _discount(n: np.ndarray) -> float:
-    once, twice = (n == 1).sum(), (n == 2).sum()
-    return float(once / (once + 2 * twice)) if once and twice else 0.5
-
-
-def build_tables(orders: list[tuple[list[str], np.ndarray]]) -> list[Table]:
-    """Interpolated probabilities of one language from (grams, counts) of each order, shortest first."""
-    out: list[Table] = []
-    lower: dict[str, float] = {}
-    for k, (grams, n) in enumerate(orders, 1):
-        d = _discount(n)
-        total: dict[str, float] = {}
-        kinds: dict[str, int] = {}
-        for g, c in zip(grams, n.tolist()):
-            total[g[:-1]] = total.get(g[:-1], 0) + c
-            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-        weight = {c: d * kinds[c] / total[c] for c in total}
-        p = {}
-        for g, c in zip(grams, n.tolist()):
-            below = lower[g[1:]] if k > 1 else 1 / ALPHABET
-            p[g] = max(c - d, 0) / total[g[:-1]] + weight[g[:-1]] * below
-        code = lambda items, size: hashes(np.frombuffer("".join(items).encode("utf-32-le"), "<u4").astype(np.uint64), np.arange(len(items)) * size + size - 1, size)
-        keys = code(list(p), k) if p else np.zeros(0, np.uint64)
-        logp = np.log(np.fromiter(p.values(), float, len(p)))
-        order = np.argsort(keys)
-        if k == 1:
-            contexts, back = np.zeros(0, np.uint64), np.log(np.array([weight.get("", 1.0)]))
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, k, kind, item, value) of (lang, gram, n) rows of ORDER characters: by order k, grams (kind 0) with log probabilities
+    and contexts (kind 1) with log back-off weights. Each order is a few equi-joins and partial aggregates on grams."""
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many kinds of longer grams it ends
+        levels.insert(0, staged(levels[0].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}"))
+    out, lower = None, None
+    for k, level in enumerate(levels, 1):
+        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = level.groupBy("lang").agg(F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5).alias("d"))
+        totals = level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        contexts = staged(totals.join(discount, "lang").select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")), f"contexts-{k}")
+        rows = level.withColumn("context", F.substring("gram", 1, k - 1)).join(contexts, ["lang", "context"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1 / ALPHABET))
         else:
-            contexts = code(list(weight), k - 1) if weight else np.zeros(0, np.uint64)
-            back = np.log(np.fromiter(weight.values(), float, len(weight)))
-            by = np.argsort(contexts)
-            contexts, back = contexts[by], back[by]
-        out.append(Table(keys[order], logp[order], contexts, back))
-        lower = p
+            rows = rows.withColumn("rest", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"])
+        p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
+        lower = staged(rows.select("lang", "gram", p.alias("p")), f"probabilities-{k}")
+        for kind, part, item, value in ((0, lower, "gram", "p"), (1, contexts, "context", "weight")):
+            part = part.select("lang", F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.col(item).alias("item"), F.log(value).alias("value"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(lang, k, kind, key, value): items of ``probabilities`` by their hash."""
+
+    def run(batches):
+        for batch in batches:
+            items = batch.column("item").to_pylist()
+            size = np.fromiter(map(len, items), np.int64, len(items))
+            keys = np.zeros(len(items), np.uint64)
+            for n in set(size.tolist()) - {0}:
+                here = np.flatnonzero(size == n)
+                codes = np.frombuffer("".join([items[i] for i in here.tolist()]).encode("utf-32-le"), "<u4").astype(np.uint64)
+                keys[here] = hashes(codes, np.arange(len(here)) * n + n - 1, n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "k", "kind")), pa.array(keys.view(np.int64)), batch.column("value")], names=["lang", "k", "kind", "key", "value"])
+
+    return rows.mapInArrow(run, "lang string, k int, kind int, key long, value double")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count grams over all rows with a language and a text, then fit score and rejection on all of them."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
@@ -198,16 +234,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _counted(rows: DataFrame) -> Model:
     """The model of (text, lang) rows, not calibrated."""
+    spark = rows.sparkSession
     counts = staged(gram_rows(rows), "grams")
-    orders = [counts]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many kinds of longer grams it ends
-        orders.insert(0, staged(orders[0].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k}"))
-    # A language at a time, so that the driver holds the strings of one; its tables take 16 bytes a gram.
-    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    model = Model(langs)
-    for lang in langs:
-        parts = [level.filter(F.col("lang") == lang).select("gram", "n").toPandas().sort_values("gram") for level in orders]
-        model.tables.append(build_tables([(part["gram"].tolist(), part["n"].to_numpy()) for part in parts]))
+    model = Model(sorted(r.lang for r in counts.select("lang").distinct().collect()), fresh_path(spark, "language-model"))
+    if not model.langs:
+        return model
+    # By language, as the driver reads them.
+    every = staged(_keyed(probabilities(counts)), "keyed", by=["lang"])
+    fs, path = filesystem(model.uri)
+    with fs.open_output_stream(path) as sink:
+        for lang in model.langs:
+            part = every.filter(F.col("lang") == lang).select("k", "kind", "key", "value").toArrow()
+            k, kind, key, value = (part.column(c).to_numpy() for c in ("k", "kind", "key", "value"))
+            key, sizes = key.view(np.uint64), []
+            for order in range(1, ORDER + 1):
+                for what in (0, 1):
+                    here = np.flatnonzero((k == order) & (kind == what))
+                    here = here[np.argsort(key[here])]
+                    sink.write(key[here].tobytes())
+                    sink.write(value[here].tobytes())
+                    sizes.append(len(here))
+            model.sizes.append(list(zip(sizes[::2], sizes[1::2])))
     return model
 
 
@@ -262,40 +309,44 @@ def _calibrate(model: Model, scored: DataFrame) -> None:
 
 def cross_entropies(rows: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
     """(id, kept, letters, h): nats a character under each language; ``letters`` counts characters and word ends."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
     other = rows.schema[keep].dataType.simpleString() if keep else "string"
 
     def run(batches):
-        model, cache = held.value, WordCache(CACHE_WORDS)
-        width = len(model.langs)
+        tables, width = model.tables, len(model.langs)
+        # Words by number; the numbers' log probabilities and lengths stand in two arrays.
+        number: dict[str, int] = {}
+        vectors, lengths, chars = np.zeros((CACHE_WORDS, width)), np.zeros(CACHE_WORDS), 0
         for part in slices(batches, max_bytes=4 << 20):
             docs = [words_of(t) for t in texts_of(part)]
-            new = {w for d in docs for w in d if w not in cache}
-            new = [w for w in new if cache.older(w) is None]
-            fresh: dict[str, np.ndarray] = {}
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                fresh.update(zip(some, model.log_probabilities(some)))
-            old, local = cache.old, {}
-            flat = [local.setdefault(w, len(local)) for d in docs for w in d]
-            vectors = np.zeros((len(local) + 1, width))
-            for w, k in local.items():
-                v = cache.get(w)
-                if v is None:
-                    v = fresh.get(w)
-                vectors[k] = old[w] if v is None else v
-            lengths = np.fromiter((len(w) + 1 for w in local), float, len(local)) if local else np.zeros(0)
-            sizes = np.array([len(d) for d in docs])
-            owner, index = np.repeat(np.arange(len(docs)), sizes), np.array(flat, np.int64)
-            letters = np.bincount(owner, lengths[index] if len(index) else None, len(docs)) if len(index) else np.zeros(len(docs))
-            total = np.stack([np.bincount(owner, vectors[index, j], len(docs)) for j in range(width)], axis=1) if width and len(index) else np.zeros((len(docs), width))
+            flat = list(chain.from_iterable(docs))
+            got = list(map(number.get, flat))
+            if None in got:
+                new = list({w for w, k in zip(flat, got) if k is None})
+                chars += sum(map(len, new))
+                if len(number) + len(new) > len(lengths) or chars > CACHE_CHARS:
+                    number.clear()
+                    new = list(set(flat))
+                    chars = sum(map(len, new))
+                    if len(new) > len(lengths):
+                        vectors, lengths = np.zeros((len(new), width)), np.zeros(len(new))
+                first = len(number)
+                for k in range(0, len(new), AT_ONCE):
+                    some = new[k : k + AT_ONCE]
+                    vectors[first + k : first + k + len(some)] = model.log_probabilities(some, tables)
+                lengths[first : first + len(new)] = np.fromiter(map(len, new), float, len(new)) + 1
+                number.update(zip(new, range(first, first + len(new))))
+                got = list(map(number.get, flat))
+            index = np.array(got, np.int64)
+            owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+            letters = np.bincount(owner, lengths[index], len(docs))
+            total = np.stack([np.bincount(owner, vectors[index, j], len(docs)) for j in range(width)], axis=1) if width else np.zeros((len(docs), 0))
             h = -total / np.maximum(letters, 1)[:, None]
-            for w, v in fresh.items():
-                if len(w) <= CACHE_LENGTH:
-                    cache.keep(w, v)
             kept = part.column(2) if keep else pa.nulls(part.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), kept, pa.array(letters.astype(np.int64)), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["id", "kept", "letters", "h"])
+        number.clear()
+        del vectors, lengths
+        release()
 
     return rows.select("id", "text", *([keep] if keep else [])).mapInArrow(run, f"id {kind}, kept {other}, letters long, h array<double>")
 

@@ -5,8 +5,8 @@ takes the longest and steps back to shorter ones where two neighbours are not wh
 (checked by re-merging, each pair once) or where the rest is known to fail (a bitfield of places). As neighbours' checks
 are local, a sequence that passes them all is the one that merging yields.
 
-Texts are cut where no piece can span (before a run of word marks, at line ends), and words met again are looked up in a
-bounded cache, so memory does not grow with the vocabulary of the corpus.
+Texts are cut where no piece can span (before a run of word marks, at line ends), and words met again are looked up in caches
+of bounded bytes that are emptied when a task ends, so memory does not grow with the vocabulary of the corpus.
 
 Defined cases: a null text counts as empty and gives begin and end ids only; unknown characters become byte pieces; null
 and repeated ids are passed through row by row; an empty table gives an empty result; other columns are ignored.
@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import WordCache, slices, table, texts_of
+from tidewater.llm.common import WordCache, release, slices, table, texts_of
 
 MARK = "▁"
-#: Words in a half of a worker's cache, and the longest word that is cached.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 48
+#: Bytes of a task's caches of words and of parts, the longest word that is cached, and the pairs of pieces remembered.
+CACHE_BYTES, CACHE_LENGTH, PAIRS = 112 << 20, 48, 200_000
 
 
 class PieceEncoder:
@@ -56,7 +56,7 @@ class PieceEncoder:
         #: Neighbouring characters that some piece holds; elsewhere a text may be cut.
         self.inside = {x[k : k + 2] for x in self.id for k in range(len(x) - 1)}
         self.pairs: dict[int, bool] = {}
-        self.words, self.parts = WordCache(CACHE_WORDS), WordCache(CACHE_WORDS)
+        self.words, self.parts = WordCache(CACHE_BYTES), WordCache(CACHE_BYTES // 3)
         self.find = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
     def merged(self, text: str) -> list[str]:
@@ -76,6 +76,8 @@ class PieceEncoder:
         key = left << 32 | right
         out = self.pairs.get(key)
         if out is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             a, b = self.piece[left], self.piece[right]
             out = self.pairs[key] = self.merged(a + b) == [a, b]
         return out
@@ -155,6 +157,11 @@ class PieceEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
+    def rest(self) -> None:
+        """Empty the caches at a task's end."""
+        self.pairs.clear()
+        release(self.words, self.parts)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str | None) -> PieceEncoder:
@@ -175,6 +182,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for part in slices(batches):
             out = [first + enc.encode_bytes(t) + last for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[id_col, "ids", "n_tokens"])
+        enc.rest()
 
     return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids binary, n_tokens long")
 
@@ -192,6 +200,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sha = [[hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(x.encode()).hexdigest() for x in back]]
             cols = [part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), *map(pa.array, sha), *([pa.array(raw, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
+        enc.rest()
 
     return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 

@@ -33,8 +33,8 @@ MAGIC = b"TWTOKEN1"
 BLOCK_IDS = 1 << 16
 #: Stands for a null document id in a file.
 NO_ID = -(1 << 63)
-#: Pieces of text in a half of a worker's cache, and the longest that is cached.
-CACHE_PARTS, CACHE_LENGTH = 450_000, 40
+#: Bytes of a worker's cache of encoded pieces of text, and the longest that is cached.
+CACHE_BYTES, CACHE_LENGTH = 224 << 20, 40
 
 
 def pack_ids(ids: np.ndarray, bits: int) -> bytes:
@@ -134,7 +134,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache = WordCache(CACHE_PARTS)
+        self.cache = WordCache(CACHE_BYTES)
         self.cut = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s]|\Z)| ?\S+|\s+(?=\s\S)|\s+\Z|\s").findall
         #: Added tokens are found across parts, and the control characters are white space to one regex engine alone: such texts go whole.
         special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
