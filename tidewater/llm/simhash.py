@@ -1,15 +1,17 @@
 """SimHash near-duplicates by pivot distance tables.
 
 A fingerprint has a bit set where over half of a text's shingle hashes have it. For linking, a table holds each distinct
-fingerprint's Hamming distances to PIVOTS reference fingerprints. Two fingerprints that differ in at most DISTANCE bits
-have distances that differ by at most DISTANCE at every pivot (triangle inequality), so pairs with a larger difference at
-any pivot are discarded, and only survivors are verified bit by bit.
+fingerprint's Hamming distances to PIVOTS reference fingerprints, computed once. Two fingerprints that differ in at most
+DISTANCE bits have distances that differ by at most DISTANCE at every pivot (triangle inequality), so pairs with a larger
+difference at any pivot are discarded, and only survivors are verified bit by bit.
 
 So that not all pairs are looked at, rows meet only where two of six bit ranges are equal: four differing bits touch four
 of the six ranges at most, so every link is met in some table (exact). From WIDE distinct fingerprints on there are seven
-ranges of which three are equal, which is exact too and keeps buckets small. A bucket of over CHUNK rows is dealt out as
-pairs of chunks, so no task holds more than two chunks of one bucket at once. Tasks give only the links that join what
-they had not joined yet, a forest, never all pairs; components follow in distributed rounds.
+ranges of which three are equal, which is exact too and keeps buckets small. Within a bucket rows stand in the order of their
+distances, and a row meets only those whose distance to the first pivot is at most DISTANCE more. A bucket of over CHUNK rows
+is dealt out as pairs of chunks, so no task holds more than two chunks of one bucket at once. Tasks give only the links that
+join what they had not joined yet, a forest, never all pairs, and forget what they joined after FOREST fingerprints, which
+gives some links twice; components follow in distributed rounds.
 
 Defined cases: a null text counts as empty and has fingerprint zero, linked like any other; a null id takes part, is never
 the smallest unless all ids of its component are null; rows of equal id are rows of their own; an empty table gives an
@@ -34,6 +36,8 @@ PIVOTS = 16
 CHUNK, WIDE = 512, 50_000_000
 #: Rows from which a fingerprint's copies count as hot, and the most such fingerprints that are broadcast.
 HOT, MAX_HOT = 200, 1_000_000
+#: Fingerprints whose joins a task remembers.
+FOREST = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, hash64=None) -> int:
@@ -90,8 +94,19 @@ def masks(ranges: int, equal: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(bits, equal))]
 
 
+def with_distances(fps: DataFrame) -> DataFrame:
+    """(fp, near): distinct fingerprints with their distances to the pivots, a byte each."""
+
+    def run(batches):
+        for batch in batches:
+            near = distance_table(batch.column(0).to_numpy().view(np.uint64)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in near], pa.binary())], names=["fp", "near"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, near binary")
+
+
 def _links(distance: int):
-    """Rows sorted by bucket; gives a forest of the links met in the task."""
+    """Rows (t, bucket, pair, fp, near) sorted by bucket and distances; gives a forest of the links met in the task."""
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -102,11 +117,12 @@ def _links(distance: int):
                 x = parent[x]
             return x
 
-        rest = None
+        rest, far = None, None
         for batch in _and_end(batches):
             if batch is not None:
                 now = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
-                rest = now if rest is None else np.concatenate([rest, now], axis=1)
+                held = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, PIVOTS).astype(np.int8)
+                rest, far = (now, held) if rest is None else (np.concatenate([rest, now], axis=1), np.concatenate([far, held]))
                 if not rest.shape[1]:
                     continue
                 same = (rest[:3] == rest[:3, -1:]).all(axis=0)
@@ -117,21 +133,20 @@ def _links(distance: int):
                 cut = rest.shape[1]
             if not cut:
                 continue
-            part, rest = rest[:, :cut], rest[:, cut:]
+            part, near, rest, far = rest[:, :cut], far[:cut], rest[:, cut:], far[cut:]
             key, fps = part[:3], part[3].view(np.uint64)
             new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
             group = np.cumsum(new) - 1
             size = np.bincount(group)
             many = size[group] > 1
-            fps, group = fps[many], group[many]
+            fps, group, near = fps[many], group[many], near[many]
             if not len(fps):
                 continue
-            near = distance_table(fps)
             out_a, out_b = [], []
             live, step = np.arange(len(fps)), 1
             while len(live):
                 live = live[live + step < len(fps)]
-                live = live[group[live] == group[live + step]]
+                live = live[(group[live] == group[live + step]) & (near[live + step, 0] - near[live, 0] <= distance)]
                 for k in range(0, len(live), 1 << 18):
                     i = live[k : k + (1 << 18)]
                     i = i[(np.abs(near[i] - near[i + step]) <= distance).all(axis=1)]
@@ -145,6 +160,8 @@ def _links(distance: int):
                 step += 1
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            if len(parent) > FOREST:
+                parent.clear()
 
     return run
 
@@ -158,19 +175,20 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): a forest of the links between distinct fingerprints ``fp`` at ``distance`` or fewer differing bits."""
     wide = fps.count() >= WIDE
     cuts = masks(distance + 3, 3) if wide else masks(distance + 2, 2)
-    rows = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in cuts])).alias("t", "bucket"))
+    near = staged(with_distances(fps), "distances")
+    rows = near.select("fp", "near", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in cuts])).alias("t", "bucket"))
     large = staged(rows.groupBy("t", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK), "buckets")
     large = large.select(F.col("t").alias("lt"), F.col("bucket").alias("lb"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     at = (F.col("t") == F.col("lt")) & (F.col("bucket") == F.col("lb"))
     large = broadcast_if_small(large, MAX_HOT)
-    small = rows.join(large.select("lt", "lb"), at, "left_anti").select("t", "bucket", F.lit(0).cast("long").alias("pair"), "fp")
+    small = rows.join(large.select("lt", "lb"), at, "left_anti").select("t", "bucket", F.lit(0).cast("long").alias("pair"), "fp", "near")
     # Chunk i of a large bucket goes to each pair (i, j) and (j, i) of chunks, so any two rows meet.
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = rows.join(large, at).withColumn("own", own).select("t", "bucket", "chunks", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("t", "bucket", (F.least("own", "other").cast("long") * F.col("chunks") + F.greatest("own", "other") + 1).alias("pair"), "fp")
-    every = small.unionByName(dealt).select(F.col("t").cast("long").alias("t"), "bucket", "pair", "fp")
+    dealt = rows.join(large, at).withColumn("own", own).select("t", "bucket", "chunks", "own", "fp", "near", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("t", "bucket", (F.least("own", "other").cast("long") * F.col("chunks") + F.greatest("own", "other") + 1).alias("pair"), "fp", "near")
+    every = small.unionByName(dealt).select(F.col("t").cast("long").alias("t"), "bucket", "pair", "fp", "near")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(n, "t", "bucket", "pair").sortWithinPartitions("t", "bucket", "pair").mapInArrow(_links(distance), "a long, b long")
+    return every.repartition(n, "t", "bucket", "pair").sortWithinPartitions("t", "bucket", "pair", "near").mapInArrow(_links(distance), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
