@@ -14,6 +14,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -122,18 +123,42 @@ def prefilter():
     return out
 
 
+class Taken:
+    """Intervals taken so far. By place, the largest end of those that begin at it or before (a binary indexed tree), so that
+    asking whether one contains another takes a logarithm of their number."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = starts
+        self.ends = [0] * (len(starts) + 1)
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        while k:
+            if self.ends[k] >= end:
+                return True
+            k -= k & -k
+        return False
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_right(self.starts, start)
+        while k < len(self.ends):
+            self.ends[k] = max(self.ends[k], end)
+            k += k & -k
+
+
 def detect(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, score) of the detections that stay, by place."""
     low = text.lower()
     if len(low) != len(text):  # lower-casing changed places; only A-Z then
         low = text.translate({c: c + 32 for c in range(65, 91)})
     able = sorted({k for _, ks in prefilter().iter(low) for k in ks})
-    found = [(k, m.start() - m.end(), m.start(), m.end()) for k in able for m in rules()[k][1].finditer(low)]
-    taken: list[tuple[int, int, str, float]] = []
-    for k, _, a, b in sorted(found):
-        if not any(x <= a and b <= y for x, y, _, _ in taken):
-            taken.append((a, b, rules()[k][0], rules()[k][3]))
-    return sorted(taken)
+    found = sorted((k, m.start() - m.end(), m.start(), m.end()) for k in able for m in rules()[k][1].finditer(low))
+    taken, out = Taken(sorted({x[2] for x in found})), []
+    for k, _, a, b in found:
+        if not taken.holds(a, b):
+            taken.add(a, b)
+            out.append((a, b, rules()[k][0], rules()[k][3]))
+    return sorted(out)
 
 
 def base(text: str, phrases=PHRASES) -> tuple[int, list[tuple[int, str]]]:

@@ -57,11 +57,14 @@ def shard(docs: DataFrame, key: str = "doc_id", names: list[str] | None = None,
     """``docs`` with ``slot`` and ``shard`` (index into ``names``)."""
     names = names or [f"shard-{i}" for i in range(SHARDS)]
     spark = docs.sparkSession
-    owners = F.split(F.lit(",".join(map(str, fill(names, slots)))), ",").cast("array<int>")
-    lookup = spark.range(1).select(F.posexplode(owners).alias("_slot", "_shard"))
     kept = docs.drop("slot", "shard")
+    # Spark's names don't tell upper and lower case apart.
+    taken = {c.lower() for c in kept.columns}
+    own = next(x for k in range(len(taken) + 1) if (x := f"slot_{k}") not in taken)
+    owners = F.split(F.lit(",".join(map(str, fill(names, slots)))), ",").cast("array<int>")
+    lookup = spark.range(1).select(F.posexplode(owners).alias(own, "shard"))
     out = kept.withColumn("slot", slot_of(kept[key], slots))
-    return out.join(F.broadcast(lookup), F.col("slot") == F.col("_slot")).withColumnRenamed("_shard", "shard").drop("_slot")
+    return out.join(F.broadcast(lookup), F.col("slot") == F.col(own)).drop(own)
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS, files_per_shard: int = 4) -> None:
