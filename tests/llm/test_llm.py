@@ -219,6 +219,7 @@ def test_links_of_a_dense_ball(spark, monkeypatch, chunk, wide):
     """Large buckets dealt out in chunks, and seven ranges, give the same components."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "WIDE", wide)
+    monkeypatch.setattr(simhash, "FOREST", 500_000 if chunk == 512 else 10)
     rng = np.random.default_rng(7)
     fps = set()
     for centre in rng.integers(0, 1 << 62, 3).tolist():
@@ -279,6 +280,25 @@ def test_license_prefilter_drops_nothing(texts):
         assert all(k in able for k, (_, rx, _, _) in enumerate(licenses.rules()) if rx.search(low))
 
 
+def test_license_suppression_on_long_and_crossing_texts():
+    import time
+
+    began = time.process_time()
+    text = "MIT License. GNU Lesser General Public License v2.1 or later. " * 20_000
+    assert [x[2] for x in licenses.detect(text)] == ["mit", "lgpl"] * 20_000
+    assert time.process_time() - began < 30
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(20) for _ in range(15))]
+        taken, kept = licenses.Taken(sorted({a for a, _ in spans})), []
+        for a, b in spans:
+            inside = any(x <= a and b <= y for x, y in kept)
+            assert taken.holds(a, b) == inside
+            if not inside:
+                taken.add(a, b)
+                kept.append((a, b))
+
+
 def test_license_edges(edges, none):
     rows = licenses.scan(edges).collect()
     assert len(rows) == 12 and [r.labels for r in rows if r.doc_id == 8] == ["mit"] and [r.n_words for r in rows if r.doc_id == 0] == [0]
@@ -343,6 +363,19 @@ def test_bloom_never_misses(spark):
     assert exact_dedup.exact_dedup(ids).filter("kept").count() == 2500
 
 
+def test_sliced_filter_tells_repeats_apart(spark, monkeypatch):
+    """A filter of many slices in the shared folder: only repeats, and hardly any other row, are suspected."""
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 1 << 14)
+    slices, size = exact_dedup.slices_for(6000)
+    assert slices >= 8 and size == 1 << 14
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, F.col("id") % 70).otherwise(F.col("id")).cast("string").alias("text"))
+    rows = exact_dedup.digests(docs).withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(slices)).cast("int"))
+    maybe = exact_dedup.suspected(rows, exact_dedup.write_filter(rows, slices, size), size).filter("maybe")
+    assert 200 <= maybe.count() < 300
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {k: k % 70 if k < 200 else k for k in range(6000)}
+
+
 # 7 sharding
 
 
@@ -368,6 +401,9 @@ def test_sharding_edges(edges, none):
     rows = sharding.shard(edges).collect()
     assert len(rows) == 12 and len({r.shard for r in rows if r.doc_id == 4}) == 1 and "slot" in rows[0]
     assert sharding.shard(none).count() == 0
+    clash = edges.select(F.col("doc_id"), F.col("text").alias("_slot"), F.col("lang").alias("_shard"), F.col("row").alias("Slot_0"), F.col("fp").alias("shard"))
+    got = sharding.shard(clash)
+    assert got.columns == ["doc_id", "_slot", "_shard", "Slot_0", "slot", "shard"] and sorted(r.shard for r in got.collect()) == sorted(r.shard for r in rows)
 
 
 # 8 decontamination
@@ -468,6 +504,53 @@ def test_toxicity_finds_planted_words(spark, sf):
     assert np.mean([rows[k].predicted == labels[k] for k in held]) >= 0.9
 
 
+def test_toxicity_recall_on_held_out_rows(spark):
+    """The larger table: the smaller ones hold out a handful of toxic rows."""
+    import os
+
+    from tests.conftest import SF
+
+    larger = os.path.dirname(SF) + "/sf0.1"
+    rows = {r.doc_id: r for r in toxicity.op9_toxicity(spark, larger).collect()}
+    held = [r for r in table(spark, larger, "labels").collect() if rows[r.doc_id].held_out]
+    assert np.mean([rows[r.doc_id].predicted for r in held if r.toxic]) >= 0.8
+    assert np.mean([1 - rows[r.doc_id].predicted for r in held if not r.toxic]) >= 0.99
+
+
+def test_toxicity_counts_ratios_and_scores_match_brute_force(spark, sf):
+    """The whole query but the fit's weights, which test_logistic_fit_is_a_minimum holds."""
+    docs, labels = table(spark, sf, "documents"), {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    held_out = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    texts_ = {r.doc_id: r.text or "" for r in docs.collect()}
+    own = {}
+    for k, t in texts_.items():
+        own[k] = {p[i : i + n] for w in re.findall(r"\w+", t.lower()) for p in [f" {w} "] for n in toxicity.GRAMS for i in range(len(p) - n + 1)}
+    learn = [k for k in texts_ if k in labels and not held_out(k)]
+    counts = Counter(), Counter()
+    for k in learn:
+        counts[labels[k] > 0].update(own[k])
+    n1, n0 = sum(labels[k] > 0 for k in learn), sum(labels[k] == 0 for k in learn)
+    rows = toxicity.labelled(docs.filter(toxicity.crc_mod("doc_id", 5) != 0), table(spark, sf, "labels"))
+    table_ = toxicity.gram_counts(rows)
+    got = {r.gram % (1 << 64): (r.toxic, r.other) for r in table_.collect()}
+    assert got == {toxicity.gram_key(g): (counts[1][g], counts[0][g]) for g in counts[0] | counts[1]}
+    want = {}
+    for g in counts[0] | counts[1]:
+        a, b = counts[1][g], counts[0][g]
+        if (a * n0 - b * n1) ** 2 * (n1 + n0) / ((a + b) * max(n1 + n0 - a - b, 1) * n1 * n0) >= toxicity.SIGNIFICANT:
+            want[toxicity.gram_key(g)] = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
+    found = {r.gram % (1 << 64): r.r for r in toxicity.features_of(table_, n1, n0).collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    model = toxicity.train(docs.filter(toxicity.crc_mod("doc_id", 5) != 0), table(spark, sf, "labels"))
+    keys, weights, _ = model.load()
+    weight = dict(zip(keys.tolist(), weights.tolist()))
+    assert weight.keys() == want.keys()
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for k, mine in own.items():
+        z = model.bias + sum(weight.get(toxicity.gram_key(g), 0.0) for g in mine)
+        assert scores[k] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9, abs=1e-12)
+
+
 def test_toxicity_edges(spark, edges, none):
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, 1), (8, 1, 0), (8, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(edges, labels)
@@ -523,3 +606,45 @@ def test_url_query_and_edges(spark, sf):
     odd = spark.createDataFrame([(1, None, "h"), (2, "", "h"), (3, "http://a.org/sex/casino", "h"), (3, "http://a.org/sex/casino", "h"), (4, "http://a.org/sex/sex", "h"), (None, "http://spam.org", "h")], "page_id long, url string, host string")
     assert [r.verdict for r in url_filter.judge(odd).orderBy(F.col("page_id").asc_nulls_last()).collect()] == ["allow", "allow", "block", "block", "allow", "block"]
     assert url_filter.judge(odd.limit(0)).count() == 0
+
+
+# 8 decontamination, generated
+
+
+TEMPLATES = (
+    "{a} has {n} apples and gives {m} of them to {b}. How many apples does {a} have left?",
+    "A train leaves {c} at {n} km/h and needs {m} hours to reach {d}. How far is it from {c} to {d}?",
+    "If {a} walks {n} miles on each of {m} days, how many miles does {a} walk in all?",
+    "{b} bought {n} pounds of rice for {m} dollars, and {a} paid half as much. What did {a} pay for the rice?",
+    "In {c} a tank holds {n} liters of water and loses {m} liters every hour until it is empty. After how many hours is that?",
+)
+
+
+def _filled(template, rng):
+    names = ["Alice", "Bob", "Carol", "Mary Ann", "Jean Paul", "Dmitri", "Olga", "Otto von Berg"]
+    a, b, c, d = rng.sample(names, 2) + rng.sample(["Paris", "New York", "Rome", "Los Angeles", "Kyiv"], 2)
+    n, m = rng.sample(["3", "17", "twenty five", "250", "1,200", "forty", "two hundred"], 2)
+    return template.format(a=a, b=b, c=c, d=d, n=n, m=m)
+
+
+def test_recall_on_reparameterised_and_verbatim_items():
+    rng = random.Random(11)
+    prose = "the old mill beside a quiet river had not turned for many winters and nobody in that village knew why".split()
+    around = lambda x: " ".join(rng.choices(prose, k=40)) + ". " + x + " " + " ".join(rng.choices(prose, k=40)).capitalize() + "."
+    items = [_filled(t, rng) for t in TEMPLATES]
+    again = [(k % len(items), around(_filled(TEMPLATES[k % len(items)], rng))) for k in range(200)]
+    got = _pairs_found(items, [t for _, t in again])
+    assert np.mean([(d, k) in got for d, (k, _) in enumerate(again)]) >= 0.9 and all(k == again[d][0] for d, k in got)
+    assert _pairs_found(items, [around(x) for x in items]) == {(k, k) for k in range(len(items))}
+    assert _pairs_found(items, [around("") for _ in range(50)]) == set()
+    # Different values for what the item says twice aren't the item.
+    assert _pairs_found(items[2:3], [around("If Bob walks 4 miles on each of 9 days, how many miles does Olga walk in all?")]) == set()
+
+
+def test_many_items_of_one_template_and_a_long_text():
+    """What an item shares with others doesn't call it up, and all whose own words stand there are found."""
+    items = [f"Which colour has the {w}{k} in the yard behind the house of the mayor?" for k, w in enumerate(["rose", "gate", "barn"] * 200)]
+    block = decontam.Block(list(enumerate(items)))
+    words, breaks = decontam.split(" ".join(items[:40] * 20))
+    assert {m[0] for m in block.matches(words, decontam.Canonical(block.known).tokens(words, breaks))} >= set(range(40))
+    assert all(block.likely(x) for x in items)
