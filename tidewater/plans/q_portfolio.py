@@ -25,6 +25,11 @@ def _market(spark, sf):
     return m.withColumn("ret_cc", F.when(F.abs("ret_cc") < 5, F.col("ret_cc") / 50)).withColumn("ret_co", F.lit(0.0))
 
 
+def _rates(market):
+    """A basis point a session on cash."""
+    return market.select("date").distinct().withColumn("rf", F.lit(0.0001))
+
+
 def _weights(market, runs: dict[str, int]):
     out = None
     for name, k in runs.items():
@@ -52,8 +57,8 @@ def after_tax(spark, sf):
     """Trade logs of two runs replayed in a taxable account."""
     m = _market(spark, sf)
     weights = _weights(m, {"top5": 5, "top10": 10})
-    log = backtest.run_backtests(m, weights, trades=True)
-    days = backtest.run_backtests(m, weights)
+    log = backtest.run_backtests(m, weights, trades=True, rf=_rates(m))
+    days = backtest.run_backtests(m, weights, rf=_rates(m))
     ends = days.groupBy("run").agg(F.max("date").alias("end"), F.max_by("nav", "date").alias("nav"))
     return tax.after_tax(log, ends)
 
@@ -132,7 +137,7 @@ def approx_after_tax(spark, sf):
     """Fast after-tax growth from monthly flows; tests hold it against the replay."""
     m = _market(spark, sf)
     weights = _weights(m, {"top5": 5, "top10": 10})
-    log, days = backtest.run_backtests(m, weights, trades=True), backtest.run_backtests(m, weights)
+    log, days = backtest.run_backtests(m, weights, trades=True, rf=_rates(m)), backtest.run_backtests(m, weights, rf=_rates(m))
     return tax.approx_after_tax(tax.monthly_gains(log, days.select("run", "date", "nav")))
 
 
