@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.lineage import cut
 from tidewater.functions.scalars import first_match
 from tidewater.operators.intervals import shared_names
 from tidewater.operators.reconcile import first_rows
 
 # First self-assigned id; days between first days that still make one listing.
 RESERVED, SAME_LISTING_DAYS = 100_000_000, 10
+#: Rounds that follow any chain of 64-bit ids to its end.
+MAX_ROUNDS = 64
 #: Ordered parts of a vendor's category and what they mean.
 CATEGORIES = (("adr", "adr"), ("preferred", "preferred"), ("warrant", "warrant"), ("etf", "fund"), ("cef", "fund"), ("etn", "fund"), ("fund", "fund"), ("common", "common"))
 
@@ -82,7 +85,7 @@ def refresh(known: DataFrame, fresh: DataFrame, reserved: DataFrame | None = Non
     return out
 
 
-def merges(ids: Ids, rounds: int = 10) -> DataFrame:
+def merges(ids: Ids) -> DataFrame:
     """(sid, into): self-made entities that share a name and days with another: into the one numbered entity, else the smallest
     self-made; chains are followed to their end by doubling."""
     both = shared_names(ids.names)
@@ -93,12 +96,14 @@ def merges(ids: Ids, rounds: int = 10) -> DataFrame:
         F.min(F.when((F.col("other") >= RESERVED) & (F.col("other") < F.col("sid")), F.col("other"))).alias("_own"),
     )
     step = g.select("sid", F.when(F.col("_n") == 1, F.col("_numbered")).otherwise(F.col("_own")).alias("into")).filter("into is not null")
-    for _ in range(rounds):
+    # Each round doubles the length of the chains followed; they lead to ever smaller ids, so they end.
+    for _ in range(MAX_ROUNDS):
+        step = cut(step)
         nxt = step.select(F.col("sid").alias("_s"), F.col("into").alias("_i"))
+        if not step.join(nxt, F.col("into") == F.col("_s"), "left_semi").take(1):
+            return step
         step = step.join(nxt, F.col("into") == F.col("_s"), "left").select("sid", F.coalesce("_i", "into").alias("into"))
-        if not step.join(step.select(F.col("sid").alias("_s")), F.col("into") == F.col("_s"), "left_semi").take(1):
-            break
-    return step
+    raise RuntimeError("chains of merges did not end")
 
 
 def merge(ids: Ids) -> Ids:
