@@ -18,7 +18,18 @@ from pyspark.sql import functions as F
 _fallback: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch that Spark hands to a worker; its default of 64 MB is as much again in the worker and in the JVM.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session's texts, unless it has chosen a size of its own."""
+    if spark.conf.get(BATCH_KEY, "") in ("67108864b", "64MB"):
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -123,8 +134,20 @@ class WordCache(dict):
         self.used, self.old = 0, {}
 
 
-def release(*caches: WordCache) -> None:
-    """Empty a task's caches and hand freed memory back, as the worker lives on beside other stages' workers."""
+_holder: list = ["", ()]
+
+
+def own(name: str, *caches) -> None:
+    """To call as a task begins: what another operator's tasks left in this worker is dropped. ``caches``, with a method ``drop``,
+    are this operator's and stay for its next task here."""
+    if _holder[0] != name:
+        before, _holder[:] = _holder[1], [name, caches]
+        if before:
+            release(*before)
+
+
+def release(*caches) -> None:
+    """Empty caches and hand freed memory back, as the worker lives on beside other stages' workers."""
     for cache in caches:
         cache.drop()
     pa.default_memory_pool().release_unused()
@@ -141,6 +164,7 @@ ROW = "_row"
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written with a number for each row, so that repeated and null ids stay apart."""
+    bound_batches(docs.sparkSession)
     return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 

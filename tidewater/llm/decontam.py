@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from tidewater.llm.common import ROW, numbered, release, slices, table, texts_of, without
+from tidewater.llm.common import ROW, numbered, own, release, slices, table, texts_of, without
 
 WINDOW, COVERAGE, SHIFT = 5, 0.8, 4
 #: Windows a broadcast table holds at most (about 40 bytes each, and the items' texts).
@@ -473,6 +473,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
+            own("decontam")
             block = held.value
             canonical = Canonical(block.known)
             for part in slices(batches):

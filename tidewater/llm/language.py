@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ROW, crc_mod, filesystem, fresh_path, mapped, numbered, release, slices, staged, table, texts_of, without
+from tidewater.llm.common import ROW, crc_mod, filesystem, fresh_path, mapped, numbered, own, release, slices, staged, table, texts_of, without
 
 ORDER = 4
 #: A text is rejected where its cross-entropy is over the training documents' mean by this many standard deviations or nats,
@@ -40,9 +40,9 @@ REJECT_SD, REJECT_NATS, REJECT_SHORT = 8.0, 0.75, 12.0
 ENOUGH = 30
 START, END = "\x02", "\x03"
 #: Words and characters that a scoring task remembers, and words scored at once.
-CACHE_WORDS, CACHE_CHARS, AT_ONCE = 250_000, 4_000_000, 30_000
+CACHE_WORDS, CACHE_CHARS, AT_ONCE = 200_000, 4_000_000, 8_000
 #: Distinct words and characters that a counting task holds before it passes their grams on.
-HELD, HELD_CHARS = 150_000, 2_500_000
+HELD, HELD_CHARS = 30_000, 500_000
 #: Size of the alphabet for the uniform distribution below the first order.
 ALPHABET = 1_000
 
@@ -81,9 +81,10 @@ def gram_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     def run(batches):
+        own("language")
         held: dict[str, Counter] = {}
         chars = 0
-        for part in slices(batches, max_bytes=4 << 20):
+        for part in slices(batches, max_bytes=1 << 20):
             for lang, text in zip(part.column("lang").to_pylist(), texts_of(part)):
                 held.setdefault(lang, Counter()).update(words_of(text))
                 chars += len(text)
@@ -313,11 +314,12 @@ def cross_entropies(rows: DataFrame, model: Model, keep: str | None = None) -> D
     other = rows.schema[keep].dataType.simpleString() if keep else "string"
 
     def run(batches):
+        own("language")
         tables, width = model.tables, len(model.langs)
         # Words by number; the numbers' log probabilities and lengths stand in two arrays.
         number: dict[str, int] = {}
         vectors, lengths, chars = np.zeros((CACHE_WORDS, width)), np.zeros(CACHE_WORDS), 0
-        for part in slices(batches, max_bytes=4 << 20):
+        for part in slices(batches, max_bytes=1 << 20):
             docs = [words_of(t) for t in texts_of(part)]
             flat = list(chain.from_iterable(docs))
             got = list(map(number.get, flat))

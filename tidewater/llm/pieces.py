@@ -6,7 +6,7 @@ takes the longest and steps back to shorter ones where two neighbours are not wh
 are local, a sequence that passes them all is the one that merging yields.
 
 Texts are cut where no piece can span (before a run of word marks, at line ends), and words met again are looked up in caches
-of bounded bytes that are emptied when a task ends, so memory does not grow with the vocabulary of the corpus.
+of bounded bytes that go when the worker turns to another operator, so memory does not grow with the vocabulary of the corpus.
 
 Defined cases: a null text counts as empty and gives begin and end ids only; unknown characters become byte pieces; null
 and repeated ids are passed through row by row; an empty table gives an empty result; other columns are ignored.
@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.common import WordCache, release, slices, table, texts_of
+from tidewater.llm.common import WordCache, own, slices, table, texts_of
 
 MARK = "▁"
 #: Bytes of a task's caches of words and of parts, the longest word that is cached, and the pairs of pieces remembered.
-CACHE_BYTES, CACHE_LENGTH, PAIRS = 112 << 20, 48, 200_000
+CACHE_BYTES, CACHE_LENGTH, PAIRS = 72 << 20, 48, 200_000
 
 
 class PieceEncoder:
@@ -157,10 +157,11 @@ class PieceEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def rest(self) -> None:
-        """Empty the caches at a task's end."""
+    def drop(self) -> None:
+        """Empty the caches."""
+        for cache in (self.words, self.parts):
+            cache.drop()
         self.pairs.clear()
-        release(self.words, self.parts)
 
 
 @lru_cache(maxsize=2)
@@ -178,11 +179,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         enc = encoder(model_path)
+        own("pieces", enc)
         first, last = np.array([enc.bos], "<u4").tobytes(), np.array([enc.eos], "<u4").tobytes()
         for part in slices(batches):
             out = [first + enc.encode_bytes(t) + last for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[id_col, "ids", "n_tokens"])
-        enc.rest()
 
     return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids binary, n_tokens long")
 
@@ -193,6 +194,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         enc = encoder(model_path)
+        own("pieces", enc)
         first, last = np.array([enc.bos], "<u4").tobytes(), np.array([enc.eos], "<u4").tobytes()
         for part in slices(batches, max_bytes=2 << 20):
             raw = [first + enc.encode_bytes(t) + last for t in texts_of(part)]
@@ -200,7 +202,6 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sha = [[hashlib.sha256(x).hexdigest() for x in raw], [hashlib.sha256(x.encode()).hexdigest() for x in back]]
             cols = [part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), *map(pa.array, sha), *([pa.array(raw, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
-        enc.rest()
 
     return _named(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 

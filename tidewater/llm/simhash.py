@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ROW, broadcast_if_small, numbered, slices, staged, table, without
+from tidewater.llm.common import ROW, broadcast_if_small, numbered, own, slices, staged, table, without
 from tidewater.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        own("simhash")
         from xxhash import xxh64_intdigest
 
         for part in slices(batches):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WordCache, filesystem, fresh_path, slices, table, texts_of
+from tidewater.llm.common import WordCache, filesystem, fresh_path, own, slices, table, texts_of
 
 MAGIC = b"TWTOKEN1"
 BLOCK_IDS = 1 << 16
@@ -185,6 +185,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         enc = encoder(tokenizer_path)
+        own("tokens", enc.cache)
         bits = max(1, (max(enc.size, (end_id or 0) + 1) - 1).bit_length())
         writer, where, first = None, "", None
         for part in slices(batches):

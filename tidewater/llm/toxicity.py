@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import broadcast_if_small, crc_mod, filesystem, fresh_path, mapped, release, slices, staged, table, texts_of
+from tidewater.llm.common import broadcast_if_small, crc_mod, filesystem, fresh_path, mapped, own, release, slices, staged, table, texts_of
 
 GRAMS = (2, 3, 4, 5)
 #: Chi-square from which a gram is a feature: one in a thousand that tells nothing reaches it.
@@ -139,6 +139,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2])], names=["gram", "toxic", "other"])
 
     def run(batches):
+        own("toxicity")
         held, size = [], 0
         for part in slices(batches):
             toxic = np.array([bool(x) for x in part.column("toxic").to_pylist()], np.int64)
@@ -255,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = rows.filter(F.crc32(F.concat(F.lit("fit"), F.col("id").cast("string")).cast("binary")) < limit)
 
     def features(batches):
+        own("toxicity")
         keys, _, marks = model.load()
         for part in slices(batches):
             x = []
@@ -289,6 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        own("toxicity")
         keys, weights, marks = model.load()
         for part in slices(batches):
             z = []
