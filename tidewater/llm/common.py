@@ -24,7 +24,7 @@ BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 def bound_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches for this session's texts, unless it has chosen a size of its own."""
-    if spark.conf.get(BATCH_KEY, "") in ("67108864b", "64MB"):
+    if spark.conf.get(BATCH_KEY) in ("67108864b", "64MB"):
         spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
 
 
