@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
+_written: list[str] = []
 
 
 #: Bytes of an Arrow batch that Spark hands to a worker; its default of 64 MB is as much again in the worker and in the JVM.
@@ -51,10 +52,19 @@ def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     ``by``: columns of which each value has a folder of its own."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _written.append(path)
     df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all that ``staged`` has written so far. For callers who know that no frame made from it will be read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint only if the table is counted and found to have at most ``max_rows`` rows; beyond that Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
