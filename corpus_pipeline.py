@@ -1,35 +1,43 @@
-"""Corpus cleaning pipeline: stages of training-data operators, each on all that its predecessor kept."""
+"""Corpus cleaning pipeline: stages of training-data operators, each on all that its predecessor kept.
+
+A stage's rows are written before the next stage begins, so each stage first deletes what the ones before it staged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import decontam, exact_dedup, language, pieces, simhash
-from tidewater.llm.common import fresh_path, table
+from tidewater.llm.common import fresh_path, sweep, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is accepted."""
+    sweep(spark)
     return language.accepted_documents(spark, docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    sweep(spark)
     return exact_dedup.kept_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
+    sweep(spark)
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
+    sweep(spark)
     return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    sweep(spark)
     return pieces.digest_documents(docs, with_ids=True)
 
 
