@@ -6,8 +6,16 @@ least number of non-null values.
 
 from __future__ import annotations
 
+import math
+from array import array
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tidewater.functions.spread import by_key
 
 
 def col(x) -> Column:
@@ -74,8 +82,24 @@ def islands(df: DataFrame, key: list[str], order: str, flag: Column) -> DataFram
 def expanding_percentile(df: DataFrame, key: list[str], order: str, value: str, least: int, inclusive: bool = False, out: str = "pct") -> DataFrame:
     """Share of the key's known values so far that lie below (``inclusive``: not above) the row's, null before ``least`` values.
 
-    A key's history is folded inside its own window partition; the keys are series, each of bounded length."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(value).over(w)
-    below = F.size(F.filter(past, lambda x: (x <= F.col(value)) if inclusive else (x < F.col(value))))
-    return df.withColumn(out, F.when((F.size(past) >= least) & F.col(value).isNotNull(), below / F.size(past)))
+    One pass over sorted partitions; held are only the current key's values so far, sorted, at eight bytes each. NaN counts as infinity."""
+    df = df.drop(out).withColumn("_value", F.col(value).cast("double"))
+    place = bisect_right if inclusive else bisect_left
+
+    def fold(batches):
+        now, past = None, array("d")
+        for batch in batches:
+            keys, shares = zip(*[batch.column(k).to_pylist() for k in key]), []
+            for k, v in zip(keys, batch.column(batch.schema.get_field_index("_value")).to_pylist()):
+                if k != now:
+                    now, past = k, array("d")
+                if v is None:
+                    shares.append(None)
+                    continue
+                v = math.inf if math.isnan(v) else v
+                past.insert(bisect_right(past, v), v)
+                shares.append(place(past, v) / len(past) if len(past) >= least else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(shares, pa.float64())], names=[*batch.schema.names[:-1], out])
+
+    kept = StructType([*[f for f in df.schema.fields if f.name != "_value"], StructField(out, DoubleType())])
+    return by_key(df, *key).sortWithinPartitions(*key, order).mapInArrow(fold, kept)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +34,19 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, values: list[str], tolerance_days: int, tiebreak: list[str] | None = None, row_key: list[str] | None = None, suffix: str = "") -> DataFrame:
     """``left`` with the right row nearest in days within the tolerance; of equally near ones the later date, then ``tiebreak`` (descending).
 
-    ``row_key`` identifies a left row (default all of its columns)."""
+    ``row_key`` identifies a left row (default all of its columns). Days are cut into blocks of the tolerance plus one; a left row
+    probes its own block and both neighbours, so it meets only right rows at most two blocks away, however many its key has. Only
+    probes (``row_key``, keys, date) and their best match shuffle; left rows join the match at the end."""
     row_key = row_key or left.columns
-    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(right_date).alias("_rd"), *[F.col(v).alias(v + suffix) for v in values], *[F.col(t).alias(f"_t_{t}") for t in tiebreak or []])
-    gap = F.abs(F.datediff(F.col(left_date), F.col("_rd")))
-    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    pairs = left.join(r, cond & (gap <= tolerance_days), "left").withColumn("_gap", gap)
-    w = Window.partitionBy(*row_key).orderBy(F.col("_gap").asc_nulls_last(), F.col("_rd").desc_nulls_last(), *[F.col(f"_t_{t}").desc_nulls_last() for t in tiebreak or []])
-    best = pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
-    return best.select(*left.columns, *[v + suffix for v in values])
+    block = tolerance_days + 1
+    of_day = lambda c: F.floor(F.unix_date(F.col(c)) / block)
+    found = [F.col(right_date).alias("_rd"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tiebreak or [])], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)]]
+    r = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], of_day(right_date).alias("_rb"), F.struct(*found).alias("_r"))
+    probes = left.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(row_key)], *[F.col(k).alias(f"_lk{i}") for i, k in enumerate(keys)], F.col(left_date).alias("_ld")).distinct()
+    near = probes.withColumn("_lb", F.explode(F.sequence(of_day("_ld") - 1, of_day("_ld") + 1)))
+    same = reduce(and_, [F.col(f"_lk{i}") == F.col(f"_k{i}") for i in range(len(keys))], F.col("_lb") == F.col("_rb"))
+    gap = F.abs(F.datediff("_ld", "_r._rd"))
+    # The largest of these structs is the nearest, then the latest, then the last by tiebreak.
+    best = near.join(r, same & (gap <= tolerance_days)).groupBy(*[f"_p{i}" for i in range(len(row_key))]).agg(F.max(F.struct((-gap).alias("_near"), "_r")).alias("_best"))
+    on = reduce(and_, [left[c].eqNullSafe(best[f"_p{i}"]) for i, c in enumerate(row_key)])
+    return left.join(best, on, "left").select(*[left[c] for c in left.columns], *[F.col(f"_best._r._v{i}").alias(v + suffix) for i, v in enumerate(values)])

@@ -60,12 +60,20 @@ def changed(old: DataFrame, new: DataFrame) -> bool:
 
 
 def later_product(rows: DataFrame, events: DataFrame, key: str, date: str, event_date: str, factor: str, until=None, row_key: list[str] | None = None, out: str = "factor") -> DataFrame:
-    """``rows`` with the product of the factors of the key's events after the row's date (and not after ``until``); 1 without any."""
+    """``rows`` with the product of the factors of the key's events after the row's date (and not after ``until``); 1 without any.
+
+    Without ``until`` one pass a key, newest first, carries the product along. With it a row meets the key's events of its own span
+    only through a join on the key: a quotient of two running products would round differently and fail at a factor of 0."""
     row_key = row_key or rows.columns
+    if until is None:
+        e = events.select(F.col(key).alias("_k"), F.col(event_date).alias("_at"), F.lit(1).alias("_tag"), F.col(factor).cast("double").alias("_f"))
+        probes = rows.select(F.col(key).alias("_k"), F.col(date).alias("_at"), F.lit(0).alias("_tag"), F.lit(None).cast("double").alias("_f")).distinct()
+        newer = Window.partitionBy("_k").orderBy(F.desc("_at"), "_tag").rowsBetween(Window.unboundedPreceding, 0)
+        products = e.unionByName(probes).filter("_k is not null and _at is not null").withColumn(out, F.product("_f").over(newer)).filter("_tag = 0")
+        products = products.select(F.col("_k").alias(key), F.col("_at").alias(date), out)
+        return rows.join(products, [key, date], "left").select(*rows.columns, F.coalesce(out, F.lit(1.0)).alias(out))
     e = events.select(F.col(key).alias("_k"), F.col(event_date).alias("_ed"), F.col(factor).alias("_f"))
-    cond = (F.col(key) == F.col("_k")) & (F.col("_ed") > F.col(date))
-    if until is not None:
-        cond = cond & (F.col("_ed") <= until)
+    cond = (F.col(key) == F.col("_k")) & (F.col("_ed") > F.col(date)) & (F.col("_ed") <= until)
     hits = rows.select(key, date, *[c for c in row_key if c not in (key, date)]).join(e, cond)
     products = hits.groupBy(*row_key).agg(F.product("_f").alias(out))
     return rows.join(products, row_key, "left").withColumn(out, F.coalesce(out, F.lit(1.0)))
