@@ -136,6 +136,65 @@ def test_tag_priority_balances_and_amendment(spark):
     assert out == {"a": (7.0, 100.0), "b": (3.0, 100.0)}
 
 
+def test_long_last_quarter_and_share_counts(spark):
+    y = dt.date
+    spans = [(y(2020, 1, 1), y(2020, 3, 24), 10.0), (y(2020, 1, 1), y(2020, 6, 16), 21.0), (y(2020, 1, 1), y(2020, 9, 8), 33.0), (y(2020, 1, 1), y(2020, 12, 29), 50.0), (y(2020, 12, 30), y(2021, 3, 24), 13.0)]
+    rows = [(1, "Revenues", e, v, e + dt.timedelta(days=40), str(i), "10-K" if i == 3 else "10-Q", s) for i, (s, e, v) in enumerate(spans)]
+    shares = [(1, "WeightedAverageNumberOfSharesOutstandingBasic", e, 100.0 + i, e + dt.timedelta(days=40), str(i), "10-Q", s) for i, (s, e, _) in enumerate(spans[:2])]
+    out = {r.accn: (r.revenue, r.shares_weighted) for r in filings.filing_states(spark.createDataFrame(rows + shares, FACT)).collect()}
+    # The last quarter, of 16 weeks, is 50 - 33 = 17; a half year's average stands as reported.
+    assert out["3"][0] == 50.0 and out["4"][0] == 53.0 and (out["0"][1], out["1"][1]) == (100.0, 101.0)
+
+
+def test_restated_values_hold_from_their_filing_on(spark):
+    ends = [dt.date(y, 12, 31) for y in (2018, 2019, 2020)]
+    rows = [(1, "Revenues", e, 10.0 * (i + 1), e + dt.timedelta(days=50), f"{i}", "10-K", dt.date(e.year, 1, 1)) for i, e in enumerate(ends)]
+    rows += [(1, "Revenues", ends[0], 11.0, ends[1] + dt.timedelta(days=50), "1", "10-K", dt.date(2018, 1, 1)), (1, "Revenues", None, 5.0, ends[0], "x", "10-K", None)]
+    rows += [(1, "EntityCommonStockSharesOutstanding", ends[i] + dt.timedelta(days=30), 7.0 + i, ends[i] + dt.timedelta(days=50), f"{i}", "10-K", None) for i in (0, 1)]
+    out = {r.accn: (r.revenue, r.prior_revenue, r.shares_out) for r in filings.filing_states(spark.createDataFrame(rows, FACT)).collect()}
+    assert out == {"0": (10.0, None, 7.0), "1": (20.0, 11.0, 8.0), "2": (30.0, 20.0, 8.0)}
+    assert filings.filing_states(spark.createDataFrame([], FACT)).count() == 0
+
+
+def test_joins_by_blocks_against_all_pairs(spark):
+    from tidewater.operators.asof import asof_nearest
+    from tidewater.operators.intervals import in_any, shared_names
+    from tidewater.operators.reconcile import later_product
+
+    rng = np.random.default_rng(4)
+    at = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=int(n))
+    left = [(i, int(rng.integers(3)), at(rng.integers(-400, 900))) for i in range(120)] + [(120, None, at(0)), (121, 1, None)]
+    right = [(int(rng.integers(3)), at(rng.integers(-400, 900)), j, float(rng.choice([0.0, 0.5, 2.0, 3.0]))) for j in range(80)]
+    a, b = spark.createDataFrame(left, "i long, k int, d date"), spark.createDataFrame(right, "k int, e date, j long, f double")
+    got = {r.i: r.j for r in asof_nearest(a, b, ["k"], "d", "e", ["j"], 9, tiebreak=["j"], row_key=["i"]).collect()}
+    for i, k, d in left:
+        near = [(-abs((e - d).days), e, j) for q, e, j, _ in right if d and q == k and abs((e - d).days) <= 9]
+        assert got[i] == (max(near)[2] if near else None)
+    got = {r.i: r.factor for r in later_product(a, b, "k", "d", "e", "f").collect()}
+    assert got == {i: float(np.prod([f for q, e, _, f in right if d and q == k and e > d])) for i, k, d in left}
+    spans = [(j, q, e, None if j % 9 == 0 else e + dt.timedelta(days=int(rng.integers(-5, 500)))) for j, (q, e, _, _) in enumerate(right)]
+    s = spark.createDataFrame(spans, 'sid long, ticker int, "from" date, "to" date'.replace('"', "`"))
+    got = {r.i: r.hit for r in in_any(a, s.withColumnRenamed("ticker", "k"), "k", "d", "hit").collect()}
+    far = dt.date(2999, 12, 31)
+    assert got == {i: any(d and q == k and f <= d <= (t or far) for _, q, f, t in spans) for i, k, d in left}
+    whole = [(q, j, f, t or far) for j, q, f, t in spans if (t or far) >= f]
+    want = {(q, j, m) for q, j, f, t in whole for p, m, g, u in whole if p == q and j < m and f <= u and g <= t}
+    assert {tuple(r) for r in shared_names(s).collect()} == want
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_expanding_percentile_against_all_pairs(spark, inclusive):
+    from tidewater.functions.windows import expanding_percentile
+
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(3)), t, None if t % 7 == 0 else float(rng.integers(8))) for t in range(150)]
+    got = {r.t: r.pct for r in expanding_percentile(spark.createDataFrame(rows, "k int, t long, x double"), ["k"], "t", "x", 5, inclusive).collect()}
+    for k, t, x in rows:
+        past = [z for q, s, z in rows if q == k and s <= t and z is not None]
+        share = None if x is None or len(past) < 5 else sum(z <= x if inclusive else z < x for z in past) / len(past)
+        assert got[t] == share
+
+
 def test_planted_beta_and_valuation(spark):
     rng = np.random.default_rng(2)
     oil, mkt = rng.normal(0, 0.02, 200), rng.normal(0, 0.01, 200)
