@@ -85,12 +85,27 @@ class PieceEncoder:
     def encode_word(self, word: str) -> list[int]:
         """Ids of a stretch that no piece crosses. While searching, -1 is a character without a piece."""
         n = len(word)
+        length, pairs = self.length, self.pairs
+        # Longest matches one after the other; most words need no step back, and a cover that passes all checks is the result.
+        path, at, last = [], 0, -1
+        for end, (back, i) in self.automaton.iter_long(word):
+            if end - back != at:
+                break
+            if last >= 0:
+                fits = pairs.get(last << 32 | i)
+                if not (self.compatible(last, i) if fits is None else fits):
+                    break
+            path.append(i)
+            at, last = end + 1, i
+        else:
+            if at == n:
+                return path
         longest = [-1] * n
         for end, (back, i) in self.automaton.iter(word):
             longest[end - back] = i
-        length, shorter, pairs = self.length, self.shorter, self.pairs
+        shorter = self.shorter
         failed = 0
-        path: list[int] = []
+        path = []
         places: list[int] = []
         at, piece, last = 0, longest[0], -1
         while True:
@@ -131,6 +146,10 @@ class PieceEncoder:
             return got
         inside, known = self.inside, self.parts
         cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside), len(word)]
+        if len(cuts) == 2:
+            ids = self.encode_word(word)
+            got = pack(f"<{len(ids)}I", *ids)
+            return self.words.keep(word, got) if len(word) <= CACHE_LENGTH else got
         out = []
         for a, b in zip(cuts, cuts[1:]):
             part = word[a:b]
