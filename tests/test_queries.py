@@ -1,7 +1,10 @@
 """Every query with SQL gives the SQL's rows on DuckDB; the others give rows of a stable schema."""
 
+import datetime as dt
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 
 from tests.conftest import plain
@@ -30,3 +33,15 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).take(1)
+
+
+def test_standardize_asinh_keeps_the_sign_of_nought(spark, tmp_path):
+    closes = {dt.datetime(2024, 1, 31): [100.0, 100.0, 100.0], dt.datetime(2024, 2, 29): [110.0, 99.99999, 90.0]}
+    rows = [{"l_suppkey": s, "l_shipdate": d, "l_quantity": 1.0, "l_extendedprice": x} for d, prices in closes.items() for s, x in enumerate(prices)]
+    pd.DataFrame(rows).astype({"l_shipdate": "datetime64[us]"}).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    text = lambda found: sorted((m, s, str(x)) for m, s, x in found)
+    got = text(map(tuple, registry.QUERIES["standardize_asinh"](spark, str(tmp_path)).select("month", "sid", "score").collect()))
+    assert got == text(con.execute(registry.ORACLE["standardize_asinh"]).fetchall())
+    assert [x for _, s, x in got if s == 1] == ["0.0", "-0.0"]

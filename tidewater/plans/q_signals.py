@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.windows import avg_rank, pct_rank, pct_rank_mid
 from tidewater.operators import forecast, prices, scoreboard, signals
 from tidewater.plans import views as v
-from tidewater.plans.kit import r, registrar
+from tidewater.plans.kit import r, registrar, signed
 
 QUERIES, ORACLE, query = registrar()
 
@@ -130,7 +130,7 @@ def month_pct_rank(spark, sf):
 SELECT month, sid, round(coalesce((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 0), 5) AS score FROM c WINDOW w AS (PARTITION BY month)""")
 def standardize_asinh(spark, sf):
     out = forecast.scaled(v.month_scores(spark, sf).select("month", "sid", "score"), ["score"], "month")
-    return out.select("month", "sid", r("score", 5))
+    return out.select("month", "sid", signed("score", 5))
 
 
 @query(f"""WITH {v.BARS}, t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, sid) AS n FROM bars)
