@@ -291,3 +291,19 @@ def test_fscore_from_years_perfect_and_missing_debt(spark):
     bank = tuple(None if n.startswith(("assets_cur", "cost_of")) else x for n, x in zip(names, row))
     r = filings.fscores_from_years(spark.createDataFrame([bank], ", ".join(f"{n} double" for n in names))).first()
     assert (r.fscore, r.n_signals, r.liquidity, r.margin) == (7, 7, None, None)
+
+
+def test_shared_names_gives_pairs_of_many_spans_once_without_dealing_them_out(spark):
+    from tidewater.operators.intervals import shared_names
+
+    rng = np.random.default_rng(6)
+    at = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=int(n))
+    spans = [(int(s), int(q), at(f), at(f + n)) for s, q, f, n in zip(rng.integers(0, 25, 300), rng.integers(0, 4, 300), rng.integers(0, 1500, 300), rng.integers(-2, 90, 300))]
+    spans += [(s, 9, at(k), at(k)) for s in (30, 31, 32) for k in range(0, 1000, s - 28)] + [(40, 8, at(0), None), (41, 8, at(900), None), (42, 8, at(5), at(4)), (None, 8, at(0), None)]
+    out = shared_names(spark.createDataFrame(spans, "sid long, ticker int, `from` date, to date"))
+    far = dt.date(2999, 12, 31)
+    whole = [(q, s, f, t or far) for s, q, f, t in spans if s is not None and f <= (t or far)]
+    want = {(q, s, m) for q, s, f, t in whole for p, m, g, u in whole if p == q and s < m and f <= u and g <= t}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate [ticker" not in out._jdf.queryExecution().optimizedPlan().toString()  # no distinct of pairs
