@@ -307,3 +307,28 @@ def test_shared_names_gives_pairs_of_many_spans_once_without_dealing_them_out(sp
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Aggregate [ticker" not in out._jdf.queryExecution().optimizedPlan().toString()  # no distinct of pairs
+
+
+@pytest.mark.parametrize("chunk", [8, 4096])
+def test_absorption_by_days_matches_the_correlation_matrix(spark, monkeypatch, chunk):
+    monkeypatch.setattr(context, "NAMES", chunk)
+    rng = np.random.default_rng(2)
+    rows = []
+    for g, names, days in (("wide", 60, 9), ("long", 12, 40), ("few", 5, 9), ("gone", 12, 1)):
+        r = rng.normal(size=(days, 1)) + rng.normal(size=(days, names))
+        r[:, 0] = 0.25  # does not move
+        r[0, 1], r[: days // 2, 2] = np.nan, np.nan  # one day missing, and too many
+        rows += [(g, s, day(k), None if np.isnan(r[k, s]) else float(r[k, s])) for s in range(names) for k in range(days)]
+    rows += [("none", 1, day(0), None), ("wide", None, day(0), 3.0), (None, 1, day(0), 1.0)]
+    got = {r.g: r.absorption for r in context.absorption(spark.createDataFrame(rows, "g string, sid long, date date, ret double"), ["g"]).collect()}
+    assert got.keys() == {"wide", "long", "few", "gone", "none", None} and got["few"] is got["gone"] is got["none"] is got[None] is None
+    for g in ("wide", "long"):
+        m = pd.DataFrame([r[1:] for r in rows if r[0] == g and r[1] is not None], columns=["s", "d", "r"]).pivot_table(index="d", columns="s", values="r")
+        m = m.dropna(axis=1, thresh=int(0.9 * len(m))).fillna(0.0)
+        e = np.sort(np.linalg.eigvalsh(np.corrcoef(m.loc[:, m.max() > m.min()].to_numpy(), rowvar=False)))[::-1]
+        assert got[g] == pytest.approx(e[: len(e) // 5].sum() / e.sum(), abs=1e-9)
+
+
+def test_absorption_of_many_names_makes_no_matrix_of_names(spark):
+    df = spark.range(20_000).selectExpr("1 AS g", "id AS sid", "explode(sequence(0, 4)) AS k").selectExpr("g", "sid", "date_add(date'2024-01-01', k) AS date", "sin(sid * 7 + k * k) AS ret")
+    assert 0.9 < context.absorption(df, ["g"]).first().absorption <= 1.0 + 1e-9
