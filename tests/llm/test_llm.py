@@ -648,3 +648,18 @@ def test_many_items_of_one_template_and_a_long_text():
     words, breaks = decontam.split(" ".join(items[:40] * 20))
     assert {m[0] for m in block.matches(words, decontam.Canonical(block.known).tokens(words, breaks))} >= set(range(40))
     assert all(block.likely(x) for x in items)
+
+
+def test_bulk_cache_keeps_two_generations_and_no_long_parts():
+    import public_tokenizers
+
+    from tidewater.llm.common import WordCache
+
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    enc.cache = WordCache(40_000)
+    texts = [f"word{i % 150} other{i} {'x' * 60}{i % 3}" for i in range(400)] + ["", " ", "a<|endoftext|>b", "c\x1cd"]
+    for k in range(0, len(texts), 40):
+        some = texts[k : k + 40]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_bytes(some)] == [e.ids for e in enc.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert enc.cache.used <= 20_000 and all(len(x) <= token_files.CACHE_LENGTH for x in [*enc.cache, *enc.cache.old])
+    assert enc.cache.old

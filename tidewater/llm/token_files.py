@@ -139,32 +139,32 @@ class Encoder:
         #: Added tokens are found across parts, and the control characters are white space to one regex engine alone: such texts go whole.
         special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()}, key=len, reverse=True)
         self.whole = re.compile("|".join([r"[\x1c-\x1f]", *map(re.escape, special)])).search
+        #: One of these is in any such text.
+        self.firsts = sorted({*"\x1c\x1d\x1e\x1f", *(x[:1] for x in special)})
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cache, parts = self.cache, [None if self.whole(t) else self.cut(t) for t in texts]
-        got = [p and list(map(cache.get, p)) for p in parts]
-        new = {x for p, g in zip(parts, got) if p and None in g for x, v in zip(p, g) if v is None}
-        new = [x for x in new if cache.older(x) is None]
-        fresh = {}
+        cache, parts = self.cache, [() if any(map(t.__contains__, self.firsts)) and self.whole(t) else self.cut(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(parts))
+        got = list(map(cache.get, flat))
+        gaps = [i for i, v in enumerate(got) if v is None]
+        new, old = {flat[i] for i in gaps}, cache.old
+        again = {x: old[x] for x in new if x in old}
+        new, fresh = list(new.difference(again)), {}
         for k in range(0, len(new), 1 << 14):
             some = new[k : k + (1 << 14)]
             e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             ends = (np.searchsorted(np.array(e.word_ids), np.arange(1, len(some) + 1)) * 4).tolist()
             fresh.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
-        out, old = [], cache.old
-        for t, p, g in zip(texts, parts, got):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            elif None in g:
-                out.append(b"".join([cache.get(x) or fresh.get(x) or old[x] if v is None else v for x, v in zip(p, g)]))
-            else:
-                out.append(b"".join(g))
-        for x, b in fresh.items():
-            if len(x) <= CACHE_LENGTH:
-                cache.keep(x, b)
-        return out
+        known = again | fresh
+        for i in gaps:
+            got[i] = known[flat[i]]
+        for x in [x for x in fresh if len(x) > CACHE_LENGTH]:
+            del known[x]
+        cache.keep_all(known)
+        ends = itertools.accumulate(map(len, parts), initial=0)
+        return [b"".join(got[a:b]) if b > a else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, (a, b) in zip(texts, itertools.pairwise(ends))]
 
 
 @lru_cache(maxsize=2)
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         own("tokens", enc.cache)
         bits = max(1, (max(enc.size, (end_id or 0) + 1) - 1).bit_length())
         writer, where, first = None, "", None
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=2 << 20):
             if writer is None:
                 fs, root = filesystem(path)
                 fs.create_dir(root, recursive=True)
