@@ -129,7 +129,7 @@ def month_pct_rank(spark, sf):
  c AS (SELECT a.month, sid, CASE WHEN s IS NOT NULL THEN greatest(least(s, hi), lo) END AS s FROM a JOIN q USING (month))
 SELECT month, sid, round(coalesce((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 0), 5) AS score FROM c WINDOW w AS (PARTITION BY month)""")
 def standardize_asinh(spark, sf):
-    out = forecast.scaled(v.month_scores(spark, sf).select("month", "sid", "score"), ["score"], "month")
+    out = forecast.scaled(v.month_scores(spark, sf).filter("month is not null").select("month", "sid", "score"), ["score"], "month")
     return out.select("month", "sid", signed("score", 5))
 
 
