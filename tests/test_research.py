@@ -309,6 +309,23 @@ def test_shared_names_gives_pairs_of_many_spans_once_without_dealing_them_out(sp
     assert "Aggregate [ticker" not in out._jdf.queryExecution().optimizedPlan().toString()  # no distinct of pairs
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_shared_names_keeps_open_spans_begun_after_the_far_day(spark, seed):
+    from tidewater.operators.intervals import FAR, shared_names
+
+    rng = np.random.default_rng(seed)
+    far = dt.date.fromisoformat(FAR)
+    near = lambda n: far + dt.timedelta(days=int(n))
+    spans = [(1, 50, dt.date(2001, 1, 1), near(900)), (2, 50, near(400), None), (3, 50, near(901), None)]
+    for q in range(60):
+        for s, f, n in zip(rng.integers(0, 5, 9), rng.integers(-9, 12, 9), rng.integers(-2, 12, 9)):
+            spans.append((int(s), int(q), near(f), None if rng.integers(3) == 0 else near(f + n)))
+    got = [tuple(r) for r in shared_names(spark.createDataFrame(spans, "sid long, ticker int, `from` date, to date")).collect()]
+    held = [(q, s, f, t or far) for s, q, f, t in spans if t is None or f <= t]
+    want = {(q, s, m) for q, s, f, t in held for p, m, g, u in held if p == q and s < m and f <= u and g <= t}
+    assert len(got) == len(set(got)) and set(got) == want and (50, 1, 2) in want
+
+
 @pytest.mark.parametrize("chunk", [8, 4096])
 def test_absorption_by_days_matches_the_correlation_matrix(spark, monkeypatch, chunk):
     monkeypatch.setattr(context, "NAMES", chunk)
